@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.session import table
-from . import exact_dedup, packing, pii, secrets, sharding, simhash, token_files
+from . import exact_dedup, packing, pii, secrets, sharding, simhash, token_files, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -44,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op4_token_files, op6_exact_dedup, op8_secrets, op9_sharding, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_toxicity, op4_token_files, op6_exact_dedup, op8_secrets, op9_sharding, op10_simhash)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
