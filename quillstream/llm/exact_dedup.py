@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import materialise, prepare
@@ -125,6 +125,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; fully repeated rows give one."""
-    kept = exact_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns. doc_id identifies a document: rows
+    that share it share its outcome, and of those that stay the longest text does.
+    Rows with a null doc_id can't be named by an outcome and pass."""
+    kept = exact_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
+    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # the join has dealt and sorted the rows by doc_id already
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))
+    name = "__nth"
+    while name in docs.columns:
+        name += "_"
+    stay = stay.withColumn(name, nth).filter(F.col(name) == 1).drop(name)
+    return stay.union(docs.filter("doc_id is null"))

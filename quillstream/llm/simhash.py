@@ -256,6 +256,7 @@ def simhash_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 3, threshold: int = 2) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group; all columns kept."""
+    """The documents whose doc_id is the smallest of their group, with all their columns.
+    Rows with a null doc_id can't be named by a group and pass."""
     heads = near_duplicates(docs, k, threshold).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
