@@ -1 +1 @@
-
+"""Batch operators: DataFrames in, DataFrames out."""
