@@ -1,11 +1,420 @@
-"""Registered queries of the engine and the SQL that each one must equal."""
+"""Registered queries of the engine over the driver's tables, and the SQL each one equals.
+
+documents stand for passages (line = verse, word = token), benchmark for query passages,
+conversations for live sessions, events for the event log; orders, lineitem and customer
+carry the relational operators. Queries without SQL are order-dependent folds or fuzzy kernels;
+tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numeric, text
+from ..operators import alignment, corpus, pairs, search, sessions
+from ..sources.session import table
+from ..streaming import guards
+from ..streaming import session as live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "relocation_search"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ corpus and searches
+
+_WORDS = r"""
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
+toks AS (SELECT doc_id, line_no, list_filter(string_split_regex(regexp_replace(lower(line), '[^a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF} \x09-\x0D]', '', 'g'), '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM lines),
+flat AS (SELECT doc_id, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS position FROM toks),
+words AS (SELECT doc_id, line_no, position, word, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, position) - 1 AS pos FROM flat)"""
+_QUERY_WORDS = r"""
+asked AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF} \x09-\x0D]', '', 'g'), '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+qwords AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM asked)"""
+_RELOCATION = f"""
+WITH {_WORDS.strip()}, {_QUERY_WORDS.strip()},
+g AS (SELECT * FROM (SELECT doc_id, pos, line_no, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS gram FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE gram IS NOT NULL),
+q AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM (SELECT item_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS gram FROM qwords WINDOW w AS (PARTITION BY item_id ORDER BY i)) WHERE gram IS NOT NULL),
+run AS (SELECT item_id, doc_id, floor((pos - i) / 3.0) AS diagonal, count(*) AS matched, min(pos) AS anchor, min(line_no) AS line_no, min(i) AS fi, count(*) / any_value(n)::DOUBLE AS score
+        FROM g JOIN q USING (gram) GROUP BY ALL),
+hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fi, doc_id, anchor) AS rank FROM run)"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.passages(table(spark, sf_dir, "documents"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), text.tokens("text").alias("tokens"))
+
+
+def _named(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("query").alias("item_id"), "rank", F.col("passage").alias("doc_id"), "line_no", F.col("anchor").cast("bigint").alias("anchor"), "matched", F.round("score", 6).alias("score"))
+
+
+@query(f"{_RELOCATION} SELECT item_id, rank, doc_id, line_no, anchor, matched, round(score, 6) AS score FROM hits WHERE rank <= 5")
+def relocation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(search.relocation(_parts(spark, sf_dir), _asked(spark, sf_dir)))
+
+
+@query(
+    f"""{_RELOCATION},
+t AS (SELECT * FROM hits WHERE rank <= 5), f AS (SELECT * FROM t WHERE rank = 1),
+o AS (SELECT t.item_id, max(t.score) AS s2 FROM t JOIN f ON t.item_id = f.item_id WHERE t.doc_id <> f.doc_id OR abs(t.line_no - f.line_no) > 2 GROUP BY 1)
+SELECT f.item_id, f.doc_id, f.line_no, round(f.score, 6) AS score, round(f.score - coalesce(s2, 0), 6) AS lead, f.score >= 0.65 AND (s2 IS NULL OR f.score - s2 >= 0.2) AS locked
+FROM f LEFT JOIN o ON f.item_id = o.item_id"""
+)
+def relocation_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = search.margin(search.relocation(_parts(spark, sf_dir), _asked(spark, sf_dir)))
+    return m.select(F.col("query").alias("item_id"), F.col("passage").alias("doc_id"), "line_no", F.round("score", 6).alias("score"), F.round("lead", 6).alias("lead"), "locked")
+
+
+@query()
+def location_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(search.location(_parts(spark, sf_dir), _asked(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_WORDS.strip()}, {_QUERY_WORDS.strip()},
+g AS (SELECT DISTINCT item, gram FROM (SELECT doc_id * 1000000 + line_no AS item, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS gram FROM words WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY position)) WHERE gram IS NOT NULL),
+q AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM (SELECT item_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS gram FROM qwords WINDOW w AS (PARTITION BY item_id ORDER BY i)) WHERE gram IS NOT NULL),
+v AS (SELECT item_id, item, count(*) AS votes, count(*) / any_value(n)::DOUBLE AS score FROM g JOIN q USING (gram) GROUP BY ALL)
+SELECT item_id, item, votes, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, item) AS rank FROM v) WHERE rank <= 5"""
+)
+def id_vote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _parts(spark, sf_dir).select("passage", F.posexplode_outer("lines").alias("i", "ids")).select((F.col("passage") * 1_000_000 + F.col("i") + 1).alias("item"), "ids")
+    found = search.id_votes(lines, _asked(spark, sf_dir).select("query", F.col("tokens").alias("ids")))
+    return found.select(F.col("query").alias("item_id"), "item", "votes", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.similar_pairs(_parts(spark, sf_dir))
+
+
+@query()
+def batch_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item against the surroundings of its best relocation hit."""
+    parts, asked = _parts(spark, sf_dir), _asked(spark, sf_dir)
+    hits = search.relocation(parts, asked).filter("rank = 1").select("query", "passage", "anchor")
+    tokens = corpus.entries(asked, "query", "tokens", "token").join(hits, "query").select(F.col("query").alias("key"), "i", "token", "passage", (F.col("anchor") + F.col("i")).alias("pointer"))
+    return alignment.align(tokens, corpus.words(parts)).select(F.col("key").alias("item_id"), "i", "pos", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_WORDS.strip()} SELECT doc_id, line_no, count(*) AS n_words, min(pos) AS first_pos, min(word) AS least, max(length(word)) AS longest FROM words GROUP BY 1, 2")
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = corpus.words(_parts(spark, sf_dir))
+    return w.groupBy(F.col("passage").alias("doc_id"), "line_no").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").cast("bigint").alias("first_pos"), F.min("word").alias("least"), F.max(F.length("word")).cast("bigint").alias("longest"))
+
+
+@query(
+    f"""WITH {_WORDS.strip()},
+g AS (SELECT DISTINCT doc_id, line_no, gram FROM (SELECT doc_id, line_no, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS gram FROM words WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY position)) WHERE gram IS NOT NULL)
+SELECT gram, count(*) AS df FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60"""
+)
+def blocking_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = corpus.runs(corpus.words(_parts(spark, sf_dir)), ["passage", "line_no"], "position", "word", 3).select("passage", "line_no", "gram").distinct()
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df between 2 and 60")
+
+
+@query(
+    r"""WITH toks AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF} \x09-\x0D]', '', 'g'), '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM conversations),
+w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM toks),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, i DESC) AS back FROM w)
+SELECT conv_id, string_agg(word, ' ' ORDER BY back DESC) AS tail, count(*) AS n FROM r WHERE back <= 16 GROUP BY 1"""
+)
+def last_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens("text").alias("ws"))
+    w = t.select("conv_id", "turn", F.posexplode_outer("ws").alias("i", "word")).filter("word is not null")
+    r = w.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), F.col("i").desc()))).filter("back <= 16")
+    kept = r.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "word"))).alias("l"), F.count(F.lit(1)).alias("n"))
+    return kept.select("conv_id", F.array_join(F.transform("l", lambda x: x["word"]), " ").alias("tail"), "n")
+
+
+# ------------------------------------------------------------------ live sessions
+
+
+def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a session over its own words: segments of up to twelve tokens, every
+    ninth token unsaid, and every fifth turn."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id"), F.col("turn").cast("int").alias("turn"), text.tokens("text").alias("ws"))
+    w = t.select("conv_id", "turn", F.posexplode_outer("ws").alias("i", "word")).filter("word is not null")
+    turns = w.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("ws"))
+    chunk = (F.col("turn") * 1000 + F.floor(F.col("i") / 12) + 1).cast("int").alias("seq")
+    said = w.filter("turn % 5 <> 3 and i % 9 <> 8").groupBy(F.col("conv_id").cast("string").alias("session_id"), chunk).agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("ws"))
+    said = said.select("session_id", "seq", F.lit("tokens").alias("kind"), F.to_json(F.struct(F.transform("ws", lambda x: x["word"]).alias("tokens"))).alias("body"))
+    line = F.col("conv_id") * 1000 + F.col("turn")
+    entry = F.array((line * 1000 + F.col("i")).cast("string"), F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string"), line.cast("string"), (F.col("i") + 1).cast("string"), F.to_json(F.array("word")))
+    words = w.withColumn("e", F.concat(F.lit("["), F.concat_ws(",", F.slice(entry, 1, 5)), F.lit(","), F.substring(F.get(entry, F.lit(5)), 2, 1_000_000)))
+    opened = words.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "i", "e"))).alias("ws")).select(F.col("conv_id").cast("string").alias("session_id"), F.lit(0).alias("seq"), F.lit("open").alias("kind"), F.concat(F.lit('{"opening": false, "reference": ['), F.concat_ws(",", F.transform("ws", lambda x: x["e"])), F.lit("]}")).alias("body"))
+    ended = turns.groupBy("conv_id").agg(F.max("turn").alias("t")).select(F.col("conv_id").cast("string").alias("session_id"), ((F.col("t") + 1) * 1000).alias("seq"), F.lit("end").alias("kind"), F.lit("{}").alias("body"))
+    return opened.union(said).union(ended)
+
+
+@query()
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.track_batch(session_rows(spark, sf_dir))
+
+
+@query()
+def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sessions.persisted(live.track_batch(session_rows(spark, sf_dir)))
+    summary = sessions.summary_live(events)
+    return summary.join(sessions.accuracy(summary), "session_id")
+
+
+@query()
+def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invented speech probabilities of the users' events, cut into segments."""
+    e = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    frames = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("win_no"), (F.sin(F.col("event_id") / 400.0) * 0.4 + 0.4 + k / 500.0).alias("probability"))
+    return guards.segment_rows(frames)
+
+
+# ------------------------------------------------------------------ event log
+
+_LOG = """
+WITH e AS (SELECT user_id AS session_id, event_id, ts, value, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS idx,
+  CASE event_type WHEN 'purchase' THEN 'WORD_OK' WHEN 'view' THEN 'MISSED_WORD' WHEN 'click' THEN 'MISSED_AYAH' WHEN 'signup' THEN 'MUTASHABEH_JUMP' ELSE 'POSITION' END AS type,
+  lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+log AS (SELECT *, CASE idx % 3 WHEN 0 THEN 'provisional' WHEN 1 THEN 'confirmed' ELSE 'revoked' END AS state, CASE WHEN idx % 3 = 2 THEN prev END AS refers_to FROM e),
+kept AS (SELECT * FROM log WHERE type <> 'POSITION'),
+gone AS (SELECT DISTINCT session_id, refers_to AS event_id FROM kept WHERE state = 'revoked'),
+stands AS (SELECT * FROM kept WHERE state = 'confirmed' AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.session_id = kept.session_id AND gone.event_id = kept.event_id))"""
+_COUNTS = """SELECT session_id, count(*) FILTER (type = 'WORD_OK') AS words_ok, count(*) FILTER (type = 'MISSED_WORD') AS words_missed, count(*) FILTER (type = 'MISSED_AYAH') AS ayahs_missed,
+count(*) FILTER (type = 'MUTASHABEH_JUMP') AS jumps, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (type <> 'WORD_OK'), '') AS errors"""
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    kind = F.col("event_type")
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), "event_id", "ts", "value", idx.alias("idx"),
+        F.when(kind == "purchase", "WORD_OK").when(kind == "view", "MISSED_WORD").when(kind == "click", "MISSED_AYAH").when(kind == "signup", "MUTASHABEH_JUMP").otherwise("POSITION").alias("type"),
+        F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("prev"),
+    )
+    state = F.when(F.col("idx") % 3 == 0, "provisional").when(F.col("idx") % 3 == 1, "confirmed").otherwise("revoked")
+    return e.withColumn("state", state).withColumn("refers_to", F.when(F.col("idx") % 3 == 2, F.col("prev"))).drop("prev")
+
+
+@query(f"{_LOG} {_COUNTS} FROM stands GROUP BY 1")
+def summary_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.summary_live(sessions.persisted(event_log(spark, sf_dir)))
+
+
+@query(f"{_LOG} {_COUNTS} FROM kept WHERE state = 'confirmed' GROUP BY 1")
+def summary_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.summary_offline(sessions.persisted(event_log(spark, sf_dir)))
+
+
+@query(f"{_LOG} {_COUNTS.replace('count(*) FILTER ' + chr(40) + 'type = ' + chr(39) + 'MISSED_WORD' + chr(39) + chr(41), '0::BIGINT')}, 'phoneme' AS mode FROM kept WHERE state = 'confirmed' GROUP BY 1")
+def summary_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.summary_lines(sessions.persisted(event_log(spark, sf_dir)))
+
+
+@query(
+    f"""{_LOG}, s AS ({_COUNTS} FROM stands GROUP BY 1),
+a AS (SELECT *, CASE WHEN words_ok + words_missed > 0 THEN CAST(floor(words_ok * 100.0 / (words_ok + words_missed) + 0.5) AS BIGINT) ELSE 0 END AS accuracy FROM s)
+SELECT session_id, accuracy, CASE WHEN accuracy >= 90 THEN 'good' WHEN accuracy >= 70 THEN 'fair' ELSE 'poor' END AS band,
+CASE WHEN words_ok + words_missed = 0 THEN 'empty' WHEN words_missed + ayahs_missed + jumps > 0 THEN 'issues' ELSE 'clean' END AS kind FROM a"""
+)
+def summary_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.accuracy(sessions.summary_live(sessions.persisted(event_log(spark, sf_dir))))
+
+
+@query(f"{_LOG} SELECT type, state, count(*) AS n FROM log GROUP BY 1, 2")
+def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.by_type_and_state(event_log(spark, sf_dir))
+
+
+@query(f"{_LOG} SELECT session_id, max(idx) + 1 AS resume_at FROM log WHERE type = 'WORD_OK' AND state = 'confirmed' GROUP BY 1")
+def resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.resume_points(event_log(spark, sf_dir))
+
+
+@query()
+def word_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return sessions.final_state(log.withColumn("type", F.when((F.col("type") == "MUTASHABEH_JUMP") & (F.col("idx") % 4 == 0), "REPEAT").otherwise(F.col("type"))))
+
+
+@query(
+    """WITH m AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER w < 120000000 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT user_id, min(us) AS start_us, max(us) + 120000000 AS end_us, count(*) AS n FROM i GROUP BY user_id, island"""
+)
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    w = guards.idle_windows(rows)
+    return w.select(F.col("session_id").alias("user_id"), F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, sum(CAST(value * 100 AS BIGINT)) OVER w AS total, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000000.0 AS elapsed
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, CAST(total AS BIGINT) AS total, total > 0.01 * 1.1 * elapsed + 3.0 * 0.01 AS over FROM r"""
+)
+def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk"), "ts", F.round(F.col("value") * 100).cast("bigint").alias("bytes"))
+    r = guards.rate_limited(chunks, 0.01)
+    return r.select(F.col("session_id").alias("user_id"), F.col("chunk").alias("event_id"), "total", "over")
+
+
+@query("WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first FROM events) SELECT user_id, count(*) AS n FROM f WHERE epoch_us(ts) - epoch_us(first) <= 5400000000 GROUP BY 1")
+def session_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts")
+    return guards.within_duration(rows).groupBy(F.col("session_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH m AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM m) SELECT user_id, any_value(event_type) AS event_type, min(event_id) AS start, count(*) AS length FROM i GROUP BY user_id, island"""
+)
+def event_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.streaks(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query(
+    """WITH p AS (SELECT event_type, epoch_us(ts) AS moment, 1 AS d, 1 AS opens FROM events UNION ALL SELECT event_type, epoch_us(ts) + 300000000, -1, 0 FROM events),
+o AS (SELECT *, sum(d) OVER (PARTITION BY event_type ORDER BY moment RANGE UNBOUNDED PRECEDING) AS open FROM p) SELECT DISTINCT event_type, moment, CAST(open AS BIGINT) AS open FROM o WHERE opens = 1"""
+)
+def active_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = table(spark, sf_dir, "events").select("event_type", us.alias("s"), (us + 300_000_000).alias("e"))
+    return sessions.gauge(spans, "event_type", "s", "e").withColumnRenamed("at", "moment")
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c)
+SELECT user_id, max(CASE WHEN k = 1 THEN event_type END) AS leader, max(CASE WHEN k = 1 THEN n END) AS votes, coalesce(max(CASE WHEN k = 2 THEN n END), 0) AS second FROM r GROUP BY 1"""
+)
+def vote_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    ranked = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "event_type"))).alias("l"))
+    return ranked.select("user_id", F.get("l", F.lit(0))["event_type"].alias("leader"), (-F.get("l", F.lit(0))["m"]).alias("votes"), F.coalesce(-F.get("l", F.lit(1))["m"], F.lit(0).cast("bigint")).alias("second"))
+
+
+# ------------------------------------------------------------------ relational operators
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS owner, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_totalprice BETWEEN 1000 AND 300000 AND o_orderpriority IS NOT NULL")
+def range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderdate >= timestamp_ntz '1996-01-01' and o_totalprice between 1000 and 300000 and o_orderpriority is not null")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_totalprice").alias("price"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, count(*) AS n, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    g = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_orderkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    return g.select("o_orderkey", "o_orderstatus", "n", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("lines"))
+
+
+@query(
+    """SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderdate < TIMESTAMP '1998-08-01' - INTERVAL 30 DAY AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) OR o_custkey IS NULL"""
+)
+def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anonymous = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return sessions.purge(table(spark, sf_dir, "orders"), anonymous, "o_custkey", "o_orderdate", F.expr("timestamp_ntz '1998-08-01'")).select("o_orderkey", "o_custkey")
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), w AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+SELECT coalesce(w.k, o.k) AS k, coalesce(w.n, o.n) AS n, o.s AS s FROM o FULL JOIN w ON o.k = w.k"""
+)
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, cut = table(spark, sf_dir, "orders"), F.expr("timestamp_ntz '1996-01-01'")
+    old = o.filter(F.col("o_orderdate") < cut).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderstatus").alias("s"))
+    new = o.filter(F.col("o_orderdate") >= cut).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return sessions.upsert(old, new, "k")
+
+
+@query("SELECT c_custkey, coalesce((SELECT arg_max(o_orderstatus, o_orderkey) FROM orders WHERE o_custkey = c_custkey), c_mktsegment) AS c_mktsegment FROM customer")
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderstatus").alias("c_mktsegment"))
+    return sessions.update_latest(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), changes, "c_custkey", "o_orderkey", "c_mktsegment")
+
+
+@query(
+    """WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderpriority, max(CASE WHEN k = floor(n * 0.5) THEN o_totalprice END) AS median, max(CASE WHEN k = floor(n * 0.95) THEN o_totalprice END) AS p95, count(*) AS n FROM r GROUP BY 1"""
+)
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.nearest_rank(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+
+
+@query("SELECT l_returnflag, round(sum(l_discount), 2) AS took, round(sum(l_quantity), 2) AS duration, round(sum(l_discount) / sum(l_quantity), 8) AS rtf, round(avg(l_tax), 6) AS quality FROM lineitem GROUP BY 1")
+def real_time_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sessions.real_time_factor(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_discount", "l_quantity", "l_tax")
+    return r.select("l_returnflag", F.round("took", 2).alias("took"), F.round("duration", 2).alias("duration"), F.round("rtf", 8).alias("rtf"), F.round("quality", 6).alias("quality"))
+
+
+@query("SELECT o_orderkey, idx FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders) WHERE o_orderstatus = 'F'")
+def sequence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index counts all rows of its sequence; rows are filtered after that."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("idx", (F.row_number().over(w) - 1).cast("bigint")).filter("o_orderstatus = 'F'").select("o_orderkey", "idx")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01')")
+def builds_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").filter("l_shipdate < timestamp_ntz '1995-06-01'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sessions.missing(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'Surah ' || c_nationkey) AS label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3")
+def labels_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").filter("n_regionkey < 3")
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", F.coalesce("n_name", F.concat(F.lit("Surah "), F.col("c_nationkey").cast("string"))).alias("label"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'r#00000007') OR CAST(c_custkey AS VARCHAR) = 'r#00000007'")
+def search_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").filter(text.matches_query(" R#00000007 ", "c_name", "c_custkey")).select("c_custkey", "c_name")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, printf('%03d%03d', l_orderkey % 1000, l_linenumber) AS code, l_orderkey || ':' || l_linenumber AS key, translate(CAST(l_linenumber AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS digits,
+CAST(floor((l_linenumber - l_quantity) / 3.0) AS BIGINT) AS diagonal, round_even(l_quantity / 4, 0) AS band, CAST(floor(l_quantity / 60) AS BIGINT) AS minutes, CAST(floor(l_quantity) AS BIGINT) % 60 AS seconds,
+least(8000.0, 1000.0 * pow(2, l_linenumber)) AS backoff, starts_with(l_linestatus, 'O') AS open FROM lineitem"""
+)
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minutes, seconds = numeric.minutes_seconds("l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", text.verse_code(F.col("l_orderkey") % 1000, "l_linenumber").alias("code"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"),
+        text.arabic_digits("l_linenumber").alias("digits"), numeric.floor_div(F.col("l_linenumber") - F.col("l_quantity"), 3).alias("diagonal"), numeric.half_even(F.col("l_quantity") / 4).alias("band"),
+        minutes.alias("minutes"), seconds.alias("seconds"), numeric.backoff_ms("l_linenumber").alias("backoff"), F.col("l_linestatus").startswith("O").alias("open"),
+    )
+
+
+@query(
+    """SELECT 'orders' AS "check", count(*) > 0 AS ok FROM orders UNION ALL SELECT 'no empty text', count(*) FILTER (text = '') = 0 FROM documents UNION ALL SELECT 'lines have orders', count(*) = 0 FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT 'line numbers start at 1', min(l_linenumber) = 1 FROM lineitem UNION ALL SELECT 'unique events', count(*) = count(DISTINCT event_id) FROM events"""
+)
+def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    orphans = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    return sessions.verify(
+        {
+            "orders": t("orders").agg((F.count(F.lit(1)) > 0).alias("ok")),
+            "no empty text": t("documents").agg((F.count_if(F.col("text") == "") == 0).alias("ok")),
+            "lines have orders": orphans.agg((F.count(F.lit(1)) == 0).alias("ok")),
+            "line numbers start at 1": t("lineitem").agg((F.min("l_linenumber") == 1).alias("ok")),
+            "unique events": t("events").agg((F.count(F.lit(1)) == F.count_distinct("event_id")).alias("ok")),
+        }
+    )

@@ -63,7 +63,7 @@ def segment_rows(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
     prepare(frames.sparkSession)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         s = Segmenter(p=p)
         found = [x for v in frame.sort_values("win_no").probability if (x := s.frame(v))]
         if last := s.flush():
