@@ -82,6 +82,10 @@ class Encoder:
             tail = self._mark(word[-1])
             word = word[:-1]
         if word.isalpha() and max(word) < _LATIN_END:
+            if lead or self.mode == "dropped":  # known without its mark or capitals?
+                ids = self.new.get(word) or self.old.get(word)
+                if ids is not None:
+                    return ids + tail
             return self._word((lead and "\u0120") + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))) + tail
         text = lead + piece
         if self.tokenizer.normalizer is not None:
