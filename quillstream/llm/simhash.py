@@ -30,7 +30,6 @@ empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,16 +42,15 @@ from pyspark.sql import functions as F
 from ..sources.session import materialise, prepare
 from .components import components, local_stars
 
-#: Fixed value: a word is a run of characters other than these.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 SEED = 42
 #: Fingerprints at an anchor beyond which it is dealt again.
 CROWD = 4096
 
 
 def lower_words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER)) if text and not text.isascii() else WORD.findall((text or "").lower())
+    """Words in lower case; both steps on bytes, where they know ASCII only."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return b"\n".join(parts).decode("utf-8", "surrogatepass").split("\n") if parts else []
 
 
 def shingles(words: list[str], k: int) -> list[str]:
