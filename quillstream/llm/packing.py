@@ -12,8 +12,8 @@ pieces it has. Each group is worked on by several islands, one task each:
   joins the population of the second epoch;
 * the best elite of the group is its packing.
 
-An island stops as soon as it reaches the lower bound of its group, so easy groups cost
-one best-fit pass. A group loses a part of one sequence at most against that bound, and
+Islands start only for groups whose best-fit decreasing packing misses the lower bound, and
+an island stops as soon as it reaches that, so easy groups cost one best-fit pass. A group loses a part of one sequence at most against that bound, and
 groups have thousands of sequences.
 
 Defined cases: null text counts as empty and gives a piece that holds the end id alone;
@@ -42,6 +42,8 @@ GROUP = 1 << 15
 ISLANDS = 3
 POPULATION = 4
 GENERATIONS = 6
+#: Bins without waste that an island may break up.
+LOOSE = 1024
 
 Bin = tuple[int, ...]
 
@@ -119,25 +121,31 @@ def fitness(bins: list[Bin], limit: int) -> tuple[int, float]:
 
 
 def evolve(counts: Counter, limit: int, seed: int, migrants: list[list[Bin]]) -> list[Bin]:
-    """An island's epoch: the fittest packing it meets."""
-    bound = lower_bound(counts, limit)
-    down = sorted(counts.elements(), reverse=True)
-    best = [tuple(x) for x in best_fit(down, limit)]
-    people = [best, *migrants]
-    rng = random.Random(seed)
-    best = max(people, key=lambda p: fitness(p, limit))
+    """An island's epoch: the fittest packing it meets.
+
+    Bins without waste can't be bettered one by one, so all but ``LOOSE`` of the fittest
+    packing's are set aside and evolution works on the rest: its cost follows the waste, not
+    the group's size."""
+    bound, rng = lower_bound(counts, limit), random.Random(seed)
+    best = max(migrants, key=lambda p: fitness(p, limit), default=None) or [tuple(x) for x in best_fit(sorted(counts.elements(), reverse=True), limit)]
     if len(best) <= bound:
         return best
+    full = [b for b in best if sum(b) == limit]
+    rng.shuffle(full)
+    aside = full[LOOSE:]
+    start = full[:LOOSE] + [b for b in best if sum(b) < limit]
+    down = sorted((x for b in start for x in b), reverse=True)
+    people = [start]
     while len(people) < POPULATION:
         order = sorted(down, key=lambda x: -x * rng.uniform(0.8, 1.25))
         people.append([tuple(x) for x in best_fit(order, limit)])
     for _ in range(GENERATIONS):
         people.sort(key=lambda p: fitness(p, limit), reverse=True)
-        if len(people[0]) <= bound:
+        if len(people[0]) + len(aside) <= bound:
             break
         children = [crossover(*rng.sample(people, 2), limit, rng) for _ in range(POPULATION)]
         people = sorted(people + children, key=lambda p: fitness(p, limit), reverse=True)[:POPULATION]
-    return max(people, key=lambda p: fitness(p, limit))
+    return aside + max(people, key=lambda p: fitness(p, limit))
 
 
 def _pieces(path: str, limit: int):
@@ -174,6 +182,20 @@ def _unflat(sizes, items) -> list[Bin]:
 _ELITE = "grp long, island int, sizes array<int>, items array<int>"
 
 
+def _seed(limit: int):
+    """Best-fit decreasing of each group; ``solved`` if it reaches the lower bound."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                counts = Counter({int(x): int(n) for x, n in zip(row.lengths, row.counts, strict=True)})
+                bins = [tuple(x) for x in best_fit(sorted(counts.elements(), reverse=True), limit)]
+                sizes, items = _flat(bins)
+                yield pd.DataFrame({"grp": [row.grp], "solved": [len(bins) <= lower_bound(counts, limit)], "sizes": [sizes], "items": [items]})
+
+    return run
+
+
 def _epoch(limit: int, epoch: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -222,11 +244,17 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, group: int = GROU
     counts = pieces.filter(F.col("length") < limit).groupBy("grp", "length").agg(F.count(F.lit(1)).alias("n"))
     # at most one entry a length
     problem = counts.groupBy("grp").agg(F.collect_list(F.struct(F.col("length").cast("int").alias("l"), "n")).alias("h"))
-    islands = problem.select("grp", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("h.l").alias("lengths"), F.col("h.n").alias("counts"))
-    islands = materialise(islands.repartition(groups * ISLANDS, "grp", "island"), "islands")
-    first = materialise(islands.repartition(groups * ISLANDS, "grp", "island").mapInPandas(_epoch(limit, 0), _ELITE), "elites")
-    moved = first.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "sizes", "items")
-    second = materialise(islands.join(moved, ["grp", "island"]).repartition(groups * ISLANDS, "grp", "island").mapInPandas(_epoch(limit, 1), _ELITE), "elites")
-    best = second.groupBy("grp").agg(F.min_by(F.struct("sizes", "items"), F.struct(F.size("sizes"), "island")).alias("e")).select("grp", "e.sizes", "e.items")
+    hist = materialise(problem.select("grp", F.col("h.l").alias("lengths"), F.col("h.n").alias("counts")).repartition(groups, "grp"), "histograms")
+    seeds = materialise(hist.repartition(groups, "grp").mapInPandas(_seed(limit), "grp long, solved boolean, sizes array<int>, items array<int>"), "seeds")
+    best = seeds.select("grp", "sizes", "items")
+    hard = seeds.filter("not solved").select("grp")
+    if hard.limit(1).count():
+        islands = hist.join(hard, "grp").select("*", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+        dealt = lambda df: df.repartition(groups * ISLANDS, "grp", "island")
+        first = materialise(dealt(islands).mapInPandas(_epoch(limit, 0), _ELITE), "elites")
+        moved = first.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "sizes", "items")
+        second = materialise(dealt(islands.join(moved, ["grp", "island"])).mapInPandas(_epoch(limit, 1), _ELITE), "elites")
+        fewest = F.min_by(F.struct("sizes", "items"), F.struct(F.size("sizes"), "island"))
+        best = best.join(hard, "grp", "left_anti").union(second.groupBy("grp").agg(fewest.alias("e")).select("grp", "e.sizes", "e.items"))
     placed = pieces.groupBy("grp").cogroup(best.groupBy("grp")).applyInPandas(_place(limit), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed
