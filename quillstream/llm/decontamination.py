@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every benchmark item, windows of as many words as the item slide over a document
-near places where the two share a shingle (5 words in lower case, without punctuation): a
-window without any shared shingle has similarity 0, so no other place can matter. A window
-and an item each have a SimHash of 64 bits over their shingles. Fingerprints are looked
-up in a multi-index of 8 blocks of 8 bits: of two fingerprints with at most ``RADIUS`` = 23
+For every benchmark item, windows of as many words as the item slide over a document.
+Places of the document that hold a shingle of the item (5 words in lower case, without
+punctuation), wherever it stands in the item, are counted for every window; the count bounds
+the similarity from above, so all windows that can reach ``SIMILAR`` are tried, the
+largest bound first, until no bound exceeds the best similarity found. A window and an item
+each have a SimHash of 64 bits over their shingles. Fingerprints are looked up in a multi-index of 8 blocks of 8 bits: of two fingerprints with at most ``RADIUS`` = 23
 differing bits, some block differs in at most 23 // 8 = 2, so tables that list, for each
 block value, the items within 2 bits guarantee every fingerprint within the radius. (Shingle
 similarities of 0.8 differ in 10 bits on average, by 3 at one standard deviation.) What
@@ -75,18 +76,20 @@ class Index:
         for _, w in self.items:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary))
-        #: shingle size -> hash -> (item, place) of the shingles of that size
-        self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: shingle size -> hash -> items that hold such a shingle
+        self.holders: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.by_size: dict[int, list[int]] = defaultdict(list)
         for n, (_, w) in enumerate(self.items):
             k = min(WORDS, len(w))
             ids = np.array([self.vocabulary[x] for x in w], np.int64)
-            for at, h in enumerate(self.rolled(ids, k).tolist()):
-                self.places[k][h].append((n, at))
+            for h in np.unique(self.rolled(ids, k)).tolist():
+                self.holders[k][h].append(n)
             self.by_size[len(w)].append(n)
-        self.places = {k: dict(v) for k, v in self.places.items()}
+        self.holders = {k: dict(v) for k, v in self.holders.items()}
         self.by_size = dict(self.by_size)
-        self.known = {k: np.sort(np.array(list(v), np.uint64)) for k, v in self.places.items()}
+        #: item -> its place among those of its size
+        self.column = {n: c for own in self.by_size.values() for c, n in enumerate(own)}
+        self.known = {k: np.sort(np.array(list(v), np.uint64)) for k, v in self.holders.items()}
         self.prints = np.array([_pack(_signs(shingles_of(w)).sum(0)[None])[0] for _, w in self.items], np.uint64)
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BITS
         #: item size -> for each block, block value x items of that size: within reach?
@@ -102,11 +105,13 @@ class Index:
                 h ^= h >> np.uint64(31)
         return h
 
-    def windows(self, words: list[str]) -> dict[int, set[int]]:
-        """Item size -> first words of the windows that share a shingle with such an item."""
+    def windows(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Item -> (first words, bounds) of the windows that can be similar enough, largest
+        bound first: a window shares at most as many shingles as it has places that hold
+        one of the item's, wherever in the item that stands."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        out: dict[int, set[int]] = defaultdict(set)
+        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, known in self.known.items():
             if len(ids) < k:
                 continue
@@ -116,34 +121,47 @@ class Index:
                 continue
             h = self.rolled(ids, k)[full]
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            found: dict[int, list[int]] = defaultdict(list)
             for p, x in zip(full[known[at] == h].tolist(), h[known[at] == h].tolist(), strict=True):
-                for n, q in self.places[k][x]:
-                    size = len(self.items[n][1])
-                    for start in range(p - q - 1, p - q + 2):
-                        out[size].add(min(max(0, start), max(0, len(words) - size)))
+                for n in self.holders[k][x]:
+                    found[n].append(p)
+            for n, places in found.items():
+                size = len(self.items[n][1])
+                own, there = size - k + 1, min(size, len(words)) - k + 1
+                # both / (own + there - both) >= SIMILAR
+                least = (own + there) * SIMILAR / (1 + SIMILAR) - 1e-9
+                if len(places) < least:
+                    continue
+                p = np.array(places)
+                starts = np.arange(max(0, int(p[0]) - there + 1), min(int(p[-1]), len(words) - min(size, len(words))) + 1)
+                shared = np.searchsorted(p, starts + there) - np.searchsorted(p, starts)
+                can = shared >= least
+                if can.any():
+                    starts, shared = starts[can], shared[can]
+                    order = np.lexsort((starts, -shared))
+                    out[n] = starts[order], (shared / (own + there - shared))[order]
         return out
 
     def hits(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, similarity, differing bits, first word) of each item's best window."""
         words = words_of(text)
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for size, starts in self.windows(words).items():
-            own = np.array(self.by_size[size])
-            for start in sorted(starts):
+        best: dict[int, tuple[int, float, int, int]] = {}
+        for n, (starts, bounds) in self.windows(words).items():
+            size = len(self.items[n][1])
+            for start, bound in zip(starts.tolist(), bounds.tolist(), strict=True):
+                if n in best and bound < best[n][1] - 1e-9:
+                    break
                 window = shingles_of(words[start : start + size])
                 fp = _pack(_signs(window).sum(0)[None])[0]
-                mask = np.zeros(len(own), bool)
-                for b in range(BITS):
-                    mask |= self.reach[size][b][int(fp >> np.uint64(8 * b)) & 255]
-                bag = None
-                for n in own[mask]:
-                    bits = int(np.bitwise_count(self.prints[n] ^ fp))
-                    if bits > RADIUS:
-                        continue
-                    bag = bag or Counter(window)
-                    s = similarity(bag, self.bags[n])
-                    if s >= SIMILAR and (n not in best or (-s, start) < (-best[n][1], best[n][3])):
-                        best[n] = (self.items[n][0], s, bits, start)
+                # the item's column in the tables of its size
+                if not any(self.reach[size][b][int(fp >> np.uint64(8 * b)) & 255, self.column[n]] for b in range(BITS)):
+                    continue
+                bits = int(np.bitwise_count(self.prints[n] ^ fp))
+                if bits > RADIUS:
+                    continue
+                s = similarity(Counter(window), self.bags[n])
+                if s >= SIMILAR and (n not in best or (-s, start) < (-best[n][1], best[n][3])):
+                    best[n] = (self.items[n][0], s, bits, start)
         return [best[n] for n in sorted(best)]
 
 

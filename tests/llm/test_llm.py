@@ -379,6 +379,42 @@ def test_decontamination(spark, odd, none):
     assert decontamination.without_benchmark(odd, bench).columns == odd.columns
 
 
+def test_decontamination_of_moved_blocks():
+    """Swapped halves, moved, inserted, deleted and repeated blocks: all windows by brute force."""
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 6)))
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate([4, 12, 40, 100, 100])]
+    items.append((5, items[3][1][:50] + items[4][1][:50]))
+    items.append((6, [*items[2][1][:8]] * 6))
+    index, found, swapped = decontamination.Index([(i, " ".join(w)) for i, w in items]), 0, 0
+    for d in range(240):
+        i, ws = r.choice(items)
+        n, kind = len(ws), r.choice(["swap", "move", "insert", "delete", "repeat"])
+        a, size = r.randrange(n), r.randint(1, max(1, n // 10))
+        if kind == "swap":
+            ws = ws[n // 2 :] + ws[: n // 2]
+        elif kind == "move":
+            rest, at = ws[:a] + ws[a + size :], r.randrange(n)
+            ws = rest[:at] + ws[a : a + size] + rest[at:]
+        elif kind == "insert":
+            ws = ws[:a] + [word() for _ in range(size)] + ws[a:]
+        elif kind == "delete":
+            ws = ws[:a] + ws[a + size :]
+        else:
+            ws = ws[: a + size] + ws[a:]
+        have = [*(word() for _ in range(r.choice([0, 20]))), *ws, *(word() for _ in range(r.choice([0, 20])))]
+        want = set()
+        for j, uw in items:
+            bag = Counter(decontamination.shingles_of(uw))
+            best = max((decontamination.similarity(Counter(decontamination.shingles_of(have[s : s + len(uw)])), bag), -s) for s in range(max(1, len(have) - len(uw) + 1)))
+            if best[0] >= 0.8:
+                want.add((j, best[0], -best[1]))
+                found += 1
+                swapped += kind == "swap"
+        assert {(j, s, at) for j, s, _, at in index.hits(" ".join(have))} == want, (d, kind)
+    assert found > 60 and swapped > 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
