@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstream.llm import components, decontamination, encoding, exact_dedup, lm_scoring, packing, pii, queries, secrets, sharding, simhash, spans, token_files, toxicity
+from quillstream.llm import components, decontamination, encoding, exact_dedup, lm_scoring, near_copies, packing, pii, queries, secrets, sharding, simhash, spans, token_files, toxicity
 from quillstream.sources.session import prepare
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +124,72 @@ def test_anchor_links_lose_nothing(spark, crowd, monkeypatch):
         assert {x: found.get(x, x) for x in signed} == want
 
 
+def word_shingles(text, k=5):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def brute_near_copies(texts):
+    """doc_id -> the smallest doc_id reachable over Jaccard similarities of 0.8 or more."""
+    sets, root = {i: word_shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize(("small", "sampled"), [(32, 16), (3, 1)])
+def test_near_copies_equal_all_pairs(spark, odd, none, small, sampled, monkeypatch):
+    """Changed, moved and cut copies around 0.8, chains, a large group, common lines."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7)))
+    line = [word() for _ in range(40)]
+
+    def changed(ws, n):
+        ws = list(ws)
+        for _ in range(n):
+            ws[r.randrange(len(ws))] = word()
+        return ws
+
+    docs = [changed(line, r.choice([0, 2, 9])) + [word() for _ in range(r.choice([0, 5, 60]))] for _ in range(30)]
+    for size in (3, 8, 30, 100, 300):
+        base = [word() for _ in range(size)]
+        for _ in range(8):
+            docs += [base, changed(base, max(1, round(size * r.choice([0.01, 0.02, 0.022, 0.03])))), base[: int(size * r.uniform(0.75, 1))], base[size // 2 :] + base[: size // 2]]
+            base = changed(base, size // 50)
+    hot = [word() for _ in range(120)]
+    docs += [changed(hot, r.choice([1, 2, 3])) for _ in range(60)]
+    r.shuffle(docs)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(900, ""), (901, None), (902, docs[5][0] if docs[5] else "")]
+    want = brute_near_copies({i: t or "" for i, t in rows})
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: x.first.doc_id for x in got} == want
+    assert len(set(want.values())) < len(rows) - 60
+    if small == 32:
+        kept = near_copies.one_of_each(odd)
+        assert kept.columns == odd.columns and {x.doc_id for x in kept.collect()} == set(brute_near_copies(texts_of(odd)).values())
+        assert near_copies.one_of_each(none).count() == 0
+
+
+def test_pipeline_drops_a_copy_with_one_changed_word(spark):
+    import corpus_pipeline
+
+    r = random.Random(32)
+    bases = [["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(100)] for _ in range(20)]
+    rows = [(2 * i + k, " ".join([*b[:50], "changed" if k else b[50], *b[51:]])) for i, b in enumerate(bases) for k in (0, 1)]
+    left = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {x.doc_id for x in left.collect()} == {2 * i for i in range(20)}
+
+
 def test_covering_code():
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 63, 300, dtype=np.uint64)
