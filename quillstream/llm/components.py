@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import materialise, prepare
+from ..sources.session import discard, materialise, prepare
 
 #: Edges that a task merges at once; more edges go through in pieces of this size.
 CHUNK = 1_000_000
@@ -87,5 +87,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         loose = stars.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
         if not loose and not stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        stars = materialise(_star(_star(stars, True), False), "stars")
+        before, stars = stars, materialise(_star(_star(stars, True), False), "stars")
+        discard(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

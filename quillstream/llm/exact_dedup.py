@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.session import materialise, prepare
 
@@ -39,15 +40,17 @@ _RUNS = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("length", pa.i
 
 
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, points, sha, norm, lead; a few MB at a time."""
+    """doc_id, text -> doc_id, points, sha, norm, lead, and row if it comes with one; a few MB
+    at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             texts = [x or "" for x in part.column("text").to_pylist()]
             norm = [x.encode("utf-8", "surrogatepass").translate(None, SPACES) for x in texts]
+            carried = [c for c in part.schema.names if c == "row"]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary()), pa.array([x[:LEAD] for x in norm], pa.binary())],
-                ["doc_id", "points", "sha", "norm", "lead"],
+                [part.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary()), pa.array(norm, pa.binary()), pa.array([x[:LEAD] for x in norm], pa.binary()), *(part.column(c) for c in carried)],
+                ["doc_id", "points", "sha", "norm", "lead", *carried],
             )
 
 
@@ -62,41 +65,51 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted doc_id, points, sha, norm -> a row per document with its run's outcome.
 
     ``edge`` marks the first and the last run of the partition, ``head`` one row of
-    each run. A run holds ids and lengths only, and ends with its partition.
+    each run. A run holds ids and lengths only, and ends with its partition. Where rows come
+    along, the one that stays of each run is handed on with it.
     """
     out: list[list] = [[] for _ in _RUNS]
+    rows: list = []
     run: list[tuple] = []
+    best, row = None, None
     last, sha, first = None, None, True
     part = TaskContext.get().partitionId()
+    carried = None
 
     def close(edge: bool) -> None:
-        best = None
-        for x in run:
-            if _better(x, best):
-                best = x
         chosen = run.index(best)
         for i, (points, doc) in enumerate(run):
             for column, value in zip(out, (doc, sha, len(last), best[1], len(run), best[0], i == chosen, edge, i == 0, part), strict=True):
                 column.append(value)
+            rows.append(row.as_py() if i == chosen and row is not None else None)
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _RUNS, strict=True)], schema=_RUNS)
-        for c in out:
+        columns = [pa.array(c, f.type) for c, f in zip(out, _RUNS, strict=True)]
+        names = [*_RUNS.names]
+        if carried is not None:
+            columns.append(pa.array(rows, carried))
+            names.append("row")
+        for c in (*out, rows):
             c.clear()
-        return batch
+        return pa.RecordBatch.from_arrays(columns, names)
 
     for batch in batches:
         ids, points, shas, norms = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "points", "sha", "norm"))
+        payload = batch.column(batch.schema.get_field_index("row")) if "row" in batch.schema.names else None
+        carried = None if payload is None else payload.type
         for i in range(batch.num_rows):
             norm = norms[i].as_py()
             if norm != last:
                 if run:
                     close(first)
                     first = False
-                    run = []
+                    run, best = [], None
                 last, sha = norm, shas[i].as_py()
-            run.append((points[i].as_py(), ids[i].as_py()))
-            if not i % 1024 and len(out[0]) >= 8192:
+            now = (points[i].as_py(), ids[i].as_py())
+            run.append(now)
+            if _better(now, best):
+                best, row = now, None if payload is None else payload[i]
+            if not i % 256 and len(out[0]) >= 2048:
                 yield flush()
     if run:
         close(True)
@@ -104,16 +117,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Shuffles each normalised text once and narrow rows otherwise.
-    """
+def _outcomes(docs: DataFrame, carry: bool) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, sha and, to ``carry``, the whole row (of the rows that
+    may be kept). Shuffles each normalised text once, the rows with it if they are carried."""
     spark = prepare(docs.sparkSession)
-    normal = docs.select("doc_id", "text").mapInArrow(_normal, "doc_id long, points long, sha binary, norm binary, lead binary")
+    more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    ddl = StructType.fromDDL("doc_id long, points long, sha binary, norm binary, lead binary")
+    found = StructType.fromDDL("doc_id long, sha binary, length long, keep_id long, size long, points long, first boolean, edge boolean, head boolean, part int")
+    if carry:
+        ddl, found = (StructType([*x.fields, StructField("row", docs.schema)]) for x in (ddl, found))
+    normal = docs.select("doc_id", "text", *more).mapInArrow(_normal, ddl)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = normal.repartitionByRange(n, "lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "norm", "doc_id").drop("lead")
-    runs = materialise(ordered.mapInArrow(_runs, "doc_id long, sha binary, length long, keep_id long, size long, points long, first boolean, edge boolean, head boolean, part int"), "exact-runs")
+    runs = materialise(ordered.mapInArrow(_runs, found), "exact-runs")
     # two rows per partition at most: the outcome of runs that may go on elsewhere
     best = F.struct(F.col("points"), F.col("keep_id").isNotNull(), -F.col("keep_id"), -F.col("part"))
     edges = runs.filter("edge and head").groupBy("sha", "length").agg(F.sum("size").alias("all_size"), F.max_by(F.struct("keep_id", "part"), best).alias("all_best"))
@@ -121,19 +137,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     edge = F.col("edge") & F.col("all_size").isNotNull()
     keep = F.when(edge, F.col("all_best.keep_id")).otherwise(F.col("keep_id"))
     kept = F.col("first") & (~edge | F.col("part").eqNullSafe(F.col("all_best.part")))
-    return joined.select("doc_id", keep.alias("keep_id"), F.when(edge, F.col("all_size")).otherwise(F.col("size")).alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.when(edge, F.col("all_size")).otherwise(F.col("size")).alias("group_size"), kept.alias("kept"), "sha", *(["row"] if carry else []))
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _outcomes(docs, False).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. doc_id identifies a document: rows
-    that share it share its outcome, and of those that stay the longest text does.
-    Rows with a null doc_id can't be named by an outcome and pass."""
-    kept = exact_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
-    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    # the join has dealt and sorted the rows by doc_id already
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))
-    name = "__nth"
-    while name in docs.columns:
-        name += "_"
-    stay = stay.withColumn(name, nth).filter(F.col(name) == 1).drop(name)
-    return stay.union(docs.filter("doc_id is null"))
+    """The rows that stay, with all their columns: exactly one of each group of equal texts.
+
+    Rows go through the sort as a whole, so what stays doesn't depend on doc_id naming a
+    row: rows that share it but differ in their texts are groups of their own, and rows with
+    a null doc_id are copies like any other (and give way to one that has an id)."""
+    kept = _outcomes(docs, True).filter("kept")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -3,21 +3,24 @@
 A document's ids and an end id are cut only if they exceed the sequence length. The
 pieces are dealt evenly to groups of about ``GROUP`` pieces. Inside a group only lengths
 matter, so its problem is a histogram with one entry a length at most, however many
-pieces it has. Each group is worked on by several islands, one task each:
+pieces it has. Every group is worked on by several islands, one task each:
 
 * a population starts from best-fit decreasing and from best-fit over perturbed orders;
 * crossover injects well-filled bins of one parent into the other, drops the bins that
   would repeat pieces, and best-fits the displaced pieces, largest first;
-* after an epoch each island's elite migrates to the next island of its group, where it
-  joins the population of the second epoch;
+* every epoch has at least one generation of crossovers; it ends early only where the
+  island's fittest packing has reached the lower bound, which no packing can better;
+* after the first epoch each island's elite migrates to the next island of its group and
+  joins that island's own population for the second one (groups at their bound have no
+  second epoch);
 * the best elite of the group is its packing.
 
-Islands start only for groups whose best-fit decreasing packing misses the lower bound, and
-an island stops as soon as it reaches that, so easy groups cost one best-fit pass. A group loses a part of one sequence at most against that bound, and
+A group loses a part of one sequence at most against the bound of all pieces together, and
 groups have thousands of sequences.
 
 Defined cases: null text counts as empty and gives a piece that holds the end id alone;
-repeated rows are packed as documents of their own; an empty table gives an empty result.
+repeated rows are packed as documents of their own, and so are rows with a null doc_id; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +45,6 @@ GROUP = 1 << 15
 ISLANDS = 3
 POPULATION = 4
 GENERATIONS = 6
-#: Bins without waste that an island may break up.
-LOOSE = 1024
 
 Bin = tuple[int, ...]
 
@@ -120,32 +121,31 @@ def fitness(bins: list[Bin], limit: int) -> tuple[int, float]:
     return -len(bins), sum((sum(x) / limit) ** 2 for x in bins) / max(1, len(bins))
 
 
-def evolve(counts: Counter, limit: int, seed: int, migrants: list[list[Bin]]) -> list[Bin]:
-    """An island's epoch: the fittest packing it meets.
+Packing = list[Bin]
 
-    Bins without waste can't be bettered one by one, so all but ``LOOSE`` of the fittest
-    packing's are set aside and evolution works on the rest: its cost follows the waste, not
-    the group's size."""
-    bound, rng = lower_bound(counts, limit), random.Random(seed)
-    best = max(migrants, key=lambda p: fitness(p, limit), default=None) or [tuple(x) for x in best_fit(sorted(counts.elements(), reverse=True), limit)]
-    if len(best) <= bound:
-        return best
-    full = [b for b in best if sum(b) == limit]
-    rng.shuffle(full)
-    aside = full[LOOSE:]
-    start = full[:LOOSE] + [b for b in best if sum(b) < limit]
-    down = sorted((x for b in start for x in b), reverse=True)
-    people = [start]
+
+def population(counts: Counter, limit: int, rng: random.Random) -> list[Packing]:
+    """Best-fit decreasing and best-fit over perturbed orders."""
+    down = sorted(counts.elements(), reverse=True)
+    people = [[tuple(x) for x in best_fit(down, limit)]]
     while len(people) < POPULATION:
         order = sorted(down, key=lambda x: -x * rng.uniform(0.8, 1.25))
         people.append([tuple(x) for x in best_fit(order, limit)])
+    return people
+
+
+def evolve(counts: Counter, limit: int, seed: int, people: list[Packing], migrants: list[Packing]) -> list[Packing]:
+    """An island's epoch: its population with the migrants, the fittest first. No population
+    yet starts one."""
+    bound, rng = lower_bound(counts, limit), random.Random(seed)
+    rank = lambda found: sorted(found, key=lambda p: fitness(p, limit), reverse=True)[:POPULATION]
+    people = rank([*(people or population(counts, limit, rng)), *migrants])
     for _ in range(GENERATIONS):
-        people.sort(key=lambda p: fitness(p, limit), reverse=True)
-        if len(people[0]) + len(aside) <= bound:
+        children = [crossover(*rng.sample(people, 2), limit, rng) for _ in range(POPULATION)] if len(people) > 1 else []
+        people = rank(people + children)
+        if len(people[0]) <= bound:
             break
-        children = [crossover(*rng.sample(people, 2), limit, rng) for _ in range(POPULATION)]
-        people = sorted(people + children, key=lambda p: fitness(p, limit), reverse=True)[:POPULATION]
-    return aside + max(people, key=lambda p: fitness(p, limit))
+    return people
 
 
 def _pieces(path: str, limit: int):
@@ -179,31 +179,24 @@ def _unflat(sizes, items) -> list[Bin]:
     return out
 
 
-_ELITE = "grp long, island int, sizes array<int>, items array<int>"
-
-
-def _seed(limit: int):
-    """Best-fit decreasing of each group; ``solved`` if it reaches the lower bound."""
+#: An island's population, the fittest packing first.
+_PEOPLE = "grp long, island int, solved boolean, sizes array<array<int>>, items array<array<int>>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                counts = Counter({int(x): int(n) for x, n in zip(row.lengths, row.counts, strict=True)})
-                bins = [tuple(x) for x in best_fit(sorted(counts.elements(), reverse=True), limit)]
-                sizes, items = _flat(bins)
-                yield pd.DataFrame({"grp": [row.grp], "solved": [len(bins) <= lower_bound(counts, limit)], "sizes": [sizes], "items": [items]})
-
-    return run
 
+def _epoch(limit: int):
+    """Rows with a histogram, the island's population and the elite that comes to it (both
+    empty at first) -> the island's population after an epoch."""
 
-def _epoch(limit: int, epoch: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 counts = Counter({int(x): int(n) for x, n in zip(row.lengths, row.counts, strict=True)})
-                migrants = [_unflat(row.sizes, row.items)] if epoch else []
-                sizes, items = _flat(evolve(counts, limit, int(row.grp) * 64 + int(row.island) * 8 + epoch, migrants))
-                yield pd.DataFrame({"grp": [row.grp], "island": [row.island], "sizes": [sizes], "items": [items]})
+                people = [_unflat(a, b) for a, b in zip(row.sizes, row.items, strict=True)]
+                migrants = [_unflat(row.new_sizes, row.new_items)] if len(row.new_sizes) else []
+                seed = int(row.grp) * 64 + int(row.island) * 8 + bool(people)
+                people = evolve(counts, limit, seed, people, migrants)
+                sizes, items = zip(*map(_flat, people), strict=True)
+                yield pd.DataFrame({"grp": [row.grp], "island": [row.island], "solved": [len(people[0]) <= lower_bound(counts, limit)], "sizes": [list(sizes)], "items": [list(items)]})
 
     return run
 
@@ -245,16 +238,17 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, group: int = GROU
     # at most one entry a length
     problem = counts.groupBy("grp").agg(F.collect_list(F.struct(F.col("length").cast("int").alias("l"), "n")).alias("h"))
     hist = materialise(problem.select("grp", F.col("h.l").alias("lengths"), F.col("h.n").alias("counts")).repartition(groups, "grp"), "histograms")
-    seeds = materialise(hist.repartition(groups, "grp").mapInPandas(_seed(limit), "grp long, solved boolean, sizes array<int>, items array<int>"), "seeds")
-    best = seeds.select("grp", "sizes", "items")
-    hard = seeds.filter("not solved").select("grp")
-    if hard.limit(1).count():
-        islands = hist.join(hard, "grp").select("*", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-        dealt = lambda df: df.repartition(groups * ISLANDS, "grp", "island")
-        first = materialise(dealt(islands).mapInPandas(_epoch(limit, 0), _ELITE), "elites")
-        moved = first.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "sizes", "items")
-        second = materialise(dealt(islands.join(moved, ["grp", "island"])).mapInPandas(_epoch(limit, 1), _ELITE), "elites")
-        fewest = F.min_by(F.struct("sizes", "items"), F.struct(F.size("sizes"), "island"))
-        best = best.join(hard, "grp", "left_anti").union(second.groupBy("grp").agg(fewest.alias("e")).select("grp", "e.sizes", "e.items"))
+    none, nobody = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    islands = hist.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    dealt = lambda df: df.select("grp", "island", "lengths", "counts", "sizes", "items", "new_sizes", "new_items").repartition(groups * ISLANDS, "grp", "island")
+    new = islands.select("*", nobody.alias("sizes"), nobody.alias("items"), none.alias("new_sizes"), none.alias("new_items"))
+    first = materialise(dealt(new).mapInPandas(_epoch(limit), _PEOPLE), "islands")
+    fewest = F.min_by(F.struct(F.col("sizes")[0].alias("sizes"), F.col("items")[0].alias("items")), F.struct(F.size(F.col("sizes")[0]), "island"))
+    elites = lambda df: df.groupBy("grp").agg(fewest.alias("e")).select("grp", "e.sizes", "e.items")
+    hard = first.groupBy("grp").agg(F.max("solved").alias("done")).filter("not done").select("grp")
+    people = first.join(hard, "grp").drop("solved")
+    moved = people.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("sizes")[0].alias("new_sizes"), F.col("items")[0].alias("new_items"))
+    second = materialise(dealt(people.join(moved, ["grp", "island"]).join(hist, "grp")).mapInPandas(_epoch(limit), _PEOPLE), "islands")
+    best = elites(first.join(hard, "grp", "left_anti").select("grp", "island", "sizes", "items").union(second.select("grp", "island", "sizes", "items")))
     placed = pieces.groupBy("grp").cogroup(best.groupBy("grp")).applyInPandas(_place(limit), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed
