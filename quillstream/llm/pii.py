@@ -4,11 +4,12 @@ Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone num
 network adds what they miss. It is trained in numpy, each time, on labelled windows: those
 around base spans of a bounded, hash-ordered sample of the table (``SAMPLE`` windows at
 most) and generated ones, which also hold written variants that the patterns don't
-know. A window's tags are BIO over the four kinds.
+know: national phone numbers, cards with other separators, defanged addresses and e-mail
+addresses with the sign spelled out. A window's tags are BIO over the four kinds.
 
 At scan time a text is covered by windows of ``WIDTH`` characters that overlap by half.
-No label occurs without a digit or an at sign, so windows without either, and without
-neighbours that have one, are all O by constraint and cost nothing. Windows are not decoded
+No label occurs without a digit or an at sign (or a bracketed "at"), so windows without
+them, and without neighbours that have one, are all O by constraint and cost nothing. Windows are not decoded
 one by one: each character's emissions are averaged over its windows, weighted by the
 distance to their edges, and one Viterbi pass with the CRF's transitions decodes each
 stretch of touching windows as a whole, so no span breaks at a window's edge. What it finds
@@ -30,21 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import materialise, prepare
-from .spans import Span, digest, joined, overlaps
+from .spans import Span, Taken, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STEP = 64, 32
 #: Windows of the table that the network learns from, at most.
 SAMPLE = 400
-GENERATED = 600
+GENERATED = 1600
 HIDDEN, EMBED, EPOCHS, BATCH = 16, 10, 8, 50
+#: Characters of which emissions are held at once.
+HELD = 1 << 17
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: The base patterns, with possessive runs where nothing is to be given back.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]")
+#: How written variants spell the marks of an address.
+_AT = re.compile(r"@|[(\[{] ?at ?[)\]}]")
+_ADDRESS = re.compile(r"[0-9]{1,3}(?:[\x20(\[{]{0,2}(?:\.|dot)[\x20)\]}]{0,2}[0-9]{1,3}){3}")
 #: Tags: O, then B and I of each kind.
 TAGS = 1 + 2 * len(KINDS)
 
@@ -264,28 +270,39 @@ def generated(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     def card() -> str:
         body = d(15)
         last = next(c for c in "0123456789" if luhn(body + c))
-        sep = r.choice(["", "", " ", "-", "  "])
+        sep = r.choice(["", "", " ", "-", "  ", ".", "/", " - "])
         return sep.join((body + last)[i : i + 4] for i in range(0, 16, 4))
 
+    at = lambda: r.choice(["@", "@", "@", " @ ", "(at)", "[at]", " (at) ", " [at] "])
+    dot = lambda: r.choice([".", ".", ".", "[.]", "(.)", " . "])
+
+    def phone() -> str:
+        forms = [f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+{d(11)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(7)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(3)}/{d(6)}"]
+        return r.choice(forms)
+
+    def ip() -> str:
+        sep = dot()
+        return sep.join(str(r.randint(0, 255)) for _ in range(4))
+
     make = {
-        "email": lambda: f"{word()}{r.choice(['', '.', '_', '+'])}{d(r.randint(0, 3))}x@{word()}.{r.choice(['com', 'org', 'example.com', 'de'])}",
-        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        "email": lambda: f"{word()}{r.choice(['', '.', '_', '+'])}{d(r.randint(0, 3))}x{at()}{word()}.{r.choice(['com', 'org', 'example.com', 'de'])}",
+        "ip": ip,
         "card": card,
-        "phone": lambda: r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(11)}"]),
+        "phone": phone,
     }
-    decoy = [lambda: d(r.randint(1, 6)), lambda: f"{d(1)}.{d(1)}.", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"v{d(1)}.{d(2)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"@{word()}"]
+    decoy = [lambda: d(r.randint(1, 6)), lambda: f"{d(1)}.{d(1)}.", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"v{d(1)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"@{word()}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"${d(3)},{d(3)}.{d(2)}", lambda: f"({d(4)})", lambda: d(r.randint(7, 20))]
     xs, ys = [], []
     for _ in range(n):
         text, spans = "", []
         while len(text) < WIDTH:
             pick = r.random()
-            if pick < 0.25:
+            if pick < 0.3:
                 kind = r.choice(KINDS)
                 value = make[kind]()
                 spans.append((kind, len(text), len(text) + len(value)))
                 text += value
             else:
-                text += r.choice(decoy)() if pick < 0.4 else word()
+                text += r.choice(decoy)() if pick < 0.45 else word()
             text += r.choice([" ", " ", " ", ", ", ". ", "\n", "!! "])
         xs.append(encode(text[:WIDTH]))
         ys.append(tags_of(spans, 0, WIDTH))
@@ -294,16 +311,27 @@ def generated(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled windows around base spans, with a hash that orders them for sampling."""
+    rows: list[tuple[bytes, bytes]] = []
+
+    def emit() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], ["x", "y"])
+        rows.clear()
+        return out
+
     for batch in batches:
-        rows = []
         for text in batch.column("text"):
             text = text.as_py() or ""
-            spans = base_spans(text)
-            for _, s, _ in spans[:4]:
+            spans = sorted(base_spans(text), key=lambda x: x[1:])
+            for i, (_, s, _) in enumerate(spans):
                 start = max(0, s - s % 29)
                 x = encode(text[start : start + WIDTH])
-                rows.append(tuple(a.astype(np.uint8).tobytes() for a in (np.pad(x, (0, WIDTH - len(x))), tags_of(spans, start, WIDTH))))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], ["x", "y"])
+                # spans are in order: those that reach into the window are near this one
+                near = [z for z in spans[max(0, i - WIDTH) : i + WIDTH] if z[2] > start and z[1] < start + WIDTH]
+                rows.append(tuple(a.astype(np.uint8).tobytes() for a in (np.pad(x, (0, WIDTH - len(x))), tags_of(near, start, WIDTH))))
+                if len(rows) >= 4096:
+                    yield emit()
+    if rows:
+        yield emit()
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -342,15 +370,67 @@ _WEIGHT = 1.0 + np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]).astype(np.f
 def _formed(kind: str, value: str) -> bool:
     n = len(_digits(value))
     if kind == "email":
-        return "@" in value[1:-1]
+        return bool(_AT.search(value[1:-1])) and "." in value
     if kind == "ip":
-        return False  # the base pattern has every valid one
+        parts = re.findall(r"[0-9]+", value)
+        return bool(_ADDRESS.fullmatch(value)) and all(int(x) <= 255 for x in parts)
     return (12 <= n <= 19 and luhn(_digits(value))) if kind == "card" else 7 <= n <= 15
 
 
+def _decode(text: str, sums: np.ndarray, start: int, trans: np.ndarray) -> list[Span]:
+    """Spans of a stretch: Viterbi over its emissions, then each kind's form."""
+    path, out, t = viterbi(sums, trans), [], 0
+    while t < len(path):
+        if path[t] == 0:
+            t += 1
+            continue
+        kind, e = KINDS[(path[t] - 1) // 2], t + 1
+        while e < len(path) and path[e] == (path[t] - 1) // 2 * 2 + 2:
+            e += 1
+        if _formed(kind, text[start + t : start + e]):
+            out.append((kind, start + t, start + e))
+        t = e
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[Span]], model: dict[str, np.ndarray]) -> list[list[Span]]:
-    """What the network adds to each text; windows of many texts go through together."""
-    jobs = [(i, a, b) for i, text in enumerate(texts) for a, b in _stretches(text)]
+    """What the network adds to each text; windows of many texts go through together, as
+    many stretches at a time as ``HELD`` characters allow; longer stretches go in parts."""
+    out: list[list[Span]] = [[] for _ in texts]
+    jobs = [(i, a, b) for i, text in enumerate(texts) for a, b in _parts(_stretches(text))]
+    at = 0
+    while at < len(jobs):
+        end, held = at, 0
+        while end < len(jobs) and (end == at or held + jobs[end][2] - jobs[end][1] + WIDTH <= HELD):
+            held += jobs[end][2] - jobs[end][1] + WIDTH
+            end += 1
+        for (i, a, _), em in zip(jobs[at:end], _averaged(texts, jobs[at:end], model), strict=True):
+            out[i] += _decode(texts[i], em, a, model["trans"])
+        at = end
+    for found, known in zip(out, base, strict=True):
+        taken, kept = Taken(known), []
+        for span in sorted(found, key=lambda x: x[1:]):
+            if not taken.overlaps(span) and (not kept or kept[-1][2] <= span[1]):
+                kept.append(span)
+        found[:] = kept
+    return out
+
+
+def _parts(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of bounded length. Neighbouring parts share two windows, so that a value at
+    the border is whole in one of them."""
+    out = []
+    for a, b in stretches:
+        while b - a + WIDTH > HELD:
+            cut = a + (HELD - WIDTH) // STEP * STEP
+            out.append((a, cut))
+            a = cut - 2 * STEP
+        out.append((a, b))
+    return out
+
+
+def _averaged(texts: list[str], jobs: list[tuple[int, int, int]], model: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """Each job's emissions by character, averaged over the windows that hold it."""
     starts = [(j, s) for j, (_, a, b) in enumerate(jobs) for s in range(a, b + 1, STEP)]
     sums = [np.zeros((b - a + WIDTH, TAGS), np.float32) for _, a, b in jobs]
     weights = [np.zeros(b - a + WIDTH, np.float32) for _, a, b in jobs]
@@ -365,23 +445,9 @@ def added_spans(texts: list[str], base: list[list[Span]], model: dict[str, np.nd
             o = s - jobs[j][1]
             sums[j][o : o + WIDTH] += em[:, k] * _WEIGHT[:, None]
             weights[j][o : o + WIDTH] += _WEIGHT
-    out: list[list[Span]] = [[] for _ in texts]
     for (i, a, _), s, w in zip(jobs, sums, weights, strict=True):
         n = min(len(s), len(texts[i]) - a)
-        path = viterbi(s[:n] / w[:n, None], model["trans"])
-        t = 0
-        while t < n:
-            if path[t] == 0:
-                t += 1
-                continue
-            kind, e = KINDS[(path[t] - 1) // 2], t + 1
-            while e < n and path[e] == (path[t] - 1) // 2 * 2 + 2:
-                e += 1
-            span = (kind, a + t, a + e)
-            if _formed(kind, texts[i][a + t : a + e]) and not overlaps(span, base[i]) and not overlaps(span, out[i]):
-                out[i].append(span)
-            t = e
-    return out
+        yield s[:n] / w[:n, None]
 
 
 _OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

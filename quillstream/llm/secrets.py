@@ -10,19 +10,23 @@ reaches and by its own form; placeholders and words score nothing.
 
 Defined cases: null text counts as empty; a doc_id may be null or repeated, one row
 comes back per input row; an empty table gives an empty result; other columns are not read.
-Time is linear in the text: patterns never retry inside a run that has failed.
+Names, literals and the blanks between them may have any length. Time is linear in the text:
+patterns never retry inside a run that has failed, and a name is resolved once, for the most
+sensitive name that leads to it.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..sources.session import prepare
-from .spans import Span, digest, joined, overlaps
+from .spans import Span, Taken, digest, joined
 
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -43,14 +47,16 @@ SENSITIVE = {
 HARMLESS = {"public", "count", "length", "size", "name", "type", "id", "path", "file", "url", "limit", "max", "min", "index"}
 PLACEHOLDER = re.compile(r"(?i)^(?:change[_-]?me|example|placeholder|your[_-].*|todo|none|null|true|false|undefined|x+|\*+|\.+|<.*>|test|dummy|redacted|\$\{.*\}|\$\w+|%.*%|env|os\.environ.*)$")
 
-_PAIR = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80}+)["'\]]{0,2}[\x20\t]{0,8}+(?::=|=>|[:=])(?![=/])[\x20\t]{0,8}+""")
-_TERM = re.compile(r"""(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n]){0,4096}+)(?P=quote)|(?P<bare>[A-Za-z0-9_][A-Za-z0-9+/_.~=-]{0,4096}+)""")
-_PLUS = re.compile(r"[\x20\t]{0,8}+(?:\+|\.\.)[\x20\t]{0,8}+")
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["'\]]{0,2}[\x20\t]*+(?::=|=>|[:=])(?![=/])[\x20\t]*+""")
+#: A bare value ends before the sign of the next pair in a chain (a=b=c); signs that end it
+#: are padding.
+_TERM = re.compile(r"""(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<bare>[A-Za-z0-9_][A-Za-z0-9+/_.~-]*+(?:=++(?![A-Za-z0-9+/_.~"'`-]))?)""")
+_PLUS = re.compile(r"[\x20\t]*+(?:\+|\.\.)[\x20\t]*+")
 _INTERPOLATED = re.compile(r"\$\{(\w+)\}")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: A literal counts from this score on.
-LEAST = 0.7
+LEAST = 0.49
 
 
 def base_spans(text: str) -> list[Span]:
@@ -71,8 +77,9 @@ def value_score(value: str) -> float:
     if len(value) < 6 or PLACEHOLDER.match(value) or " " in value:
         return 0.0
     kinds = sum(bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    varied = len(set(value)) / len(value)
-    return min(1.0, 0.35 + 0.2 * (kinds - 1) + 0.02 * min(len(value), 20)) if varied > 0.2 else 0.0
+    # at least as varied as two characters that take turns, whatever the length
+    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    return min(1.0, 0.35 + 0.2 * (kinds - 1) + 0.02 * min(len(value), 20)) if bits >= 1 else 0.0
 
 
 def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
@@ -95,37 +102,45 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
     return found
 
 
+def sensitivity(listed: list[tuple[str, list[tuple[str, int, int, bool]]]]) -> dict[str, float]:
+    """Name -> the score of the most sensitive name whose value it is a part of (itself
+    included). Names are visited by falling score, so each is resolved once."""
+    parts: dict[str, list[str]] = {}
+    for name, terms in listed:
+        parts.setdefault(name, []).extend(x for value, _, _, quoted in terms for x in (_INTERPOLATED.findall(value) if quoted else [value] if _NAME.fullmatch(value) else ()))
+    own = {name: name_score(name) for name in parts}
+    reached: dict[str, float] = {}
+    for name in sorted((x for x in own if own[x] >= 0.4), key=lambda x: -own[x]):
+        todo = [name]
+        while todo:
+            x = todo.pop()
+            if x in parts and x not in reached:
+                reached[x] = own[name]
+                todo += parts[x]
+    return reached
+
+
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, by their own places."""
-    defined: dict[str, list[list[tuple[str, int, int, bool]]]] = {}
     listed = pairs(text)
+    if not listed:
+        return []
+    defined, reached = {name for name, _ in listed}, sensitivity(listed)
+    found = set()
     for name, terms in listed:
-        defined.setdefault(name, []).append(terms)
-    found: dict[tuple[int, int], float] = {}
-    for name, terms in listed:
-        score = name_score(name)
-        if score < 0.4:
-            continue
-        # the value of a sensitive name: its literals, and those of names it is made of
-        todo, seen = [*terms], {name}
-        while todo:
-            value, start, end, quoted = todo.pop()
-            for other in _INTERPOLATED.findall(value) if quoted else [value] if _NAME.fullmatch(value) else []:
-                if other in defined and other not in seen:
-                    seen.add(other)
-                    todo += [t for ts in defined[other] for t in ts]
-            if not quoted and value in defined:
-                continue
-            worth = value_score(value) * score
-            if worth >= LEAST * 0.7 and (quoted or re.search(r"[0-9]", value)):
-                found[start, end] = max(worth, found.get((start, end), 0.0))
-    return [("literal", s, e) for (s, e), worth in found.items() if worth >= LEAST * 0.7]
+        for value, start, end, quoted in terms if name in reached else ():
+            if not quoted and (value in defined or not re.search(r"[0-9]", value)):
+                continue  # another name, or a word
+            if value_score(value) * reached[name] >= LEAST:
+                found.add((start, end))
+    return [("literal", s, e) for s, e in sorted(found)]
 
 
 def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, spans that the lexer adds outside of them)."""
     base = base_spans(text)
-    return base, [x for x in literal_spans(text) if not overlaps(x, base)]
+    taken = Taken(base)
+    return base, [x for x in literal_spans(text) if not taken.overlaps(x)]
 
 
 _OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

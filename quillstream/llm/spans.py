@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 Span = tuple[str, int, int]
@@ -17,5 +18,19 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(joined(spans, kinds).encode()).hexdigest()
 
 
-def overlaps(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < e and s < span[2] for _, s, e in others)
+class Taken:
+    """Places that spans already cover; looked up in logarithmic time."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda x: x[1:]):
+            if self.starts and start < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, span: Span) -> bool:
+        at = bisect.bisect_left(self.starts, span[2])
+        return at > 0 and self.ends[at - 1] > span[1]
