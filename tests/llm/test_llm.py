@@ -484,6 +484,44 @@ def test_toxic_grammar(spark, odd):
     assert toxicity.score_documents(odd, empty).count() == odd.count()
 
 
+def test_patterns_of_several_words():
+    g = toxicity.Grammar(dict.fromkeys(toxicity.PRIOR_INSULTS, 2.0), {})
+    insult, threat = (lambda t: g.clause(t)[0]), (lambda t: g.clause(t)[1])
+    assert insult("you are such an idiot") > insult("you met an idiot") > insult("an idiot")
+    assert insult("such idiot") > insult("some idiot") and insult("what a waste of space") > 0 == insult("a waste of time")
+    assert threat("i will hurt you") > threat("i will hurt myself") > threat("they were hurt") / 2 > 0
+    assert threat("i will hurt you") > threat("i will not hurt you") > 0 and threat("drop dead") > 0 == threat("drop it")
+    assert threat("he said i will hurt you") < threat("i will hurt you")
+
+
+def test_composed_machine_equals_its_parts():
+    """Brute force: all transducers side by side on random strings of symbols."""
+    r = random.Random(17)
+    to, factor, addend = toxicity.compose(*toxicity.PARTS)
+    for _ in range(300):
+        state, parts = 0, [0] * len(toxicity.PARTS)
+        for x in r.choices(range(toxicity.SYMBOLS), k=30):
+            steps = [m[s, x] for m, s in zip(toxicity.PARTS, parts, strict=True)]
+            f = np.prod([a for _, a, _ in steps])
+            assert factor[state][x] == pytest.approx(f) and addend[state][x] == pytest.approx(f * sum(a for _, _, a in steps))
+            state, parts = to[state][x], [s for s, _, _ in steps]
+
+
+def test_toxic_features_equal_clause_by_clause():
+    """Brute force: every clause of a text read by itself, whether anything matches or not."""
+    r = random.Random(18)
+    g = toxicity.Grammar(dict.fromkeys(toxicity.PRIOR_INSULTS, 2.0), {"abscha": 1.5})
+    pool = [*toxicity.PRIOR_INSULTS[:4], *toxicity.THREATS[:3], "you", "will", "are", "not", "said", "such", "fine", "day", '"', "abschaumig", "piece of trash", "and"]
+    for _ in range(300):
+        text = "".join(r.choice(pool).title() + r.choice([" ", " ", " ", ". ", "\n", "; ", "!"]) for _ in range(r.randint(0, 40)))
+        both = [g.clause(c) for c in re.split(r"[.!?;:\n]", text.lower())]
+        # a clause counts once something of the lexicon starts a word in it
+        start = re.compile(r"(?<![^\W\d_])(?:" + "|".join([*g.words, *g.stems, *toxicity.THREATS, *toxicity.INSULT_PHRASES, *toxicity.THREAT_PHRASES]) + ")")
+        both = [x for x, c in zip(both, re.split(r"[.!?;:\n]", text.lower()), strict=True) if start.search(c)]
+        want = [sum(a for a, _ in both), sum(b for _, b in both), sum(a + b > 0 for a, b in both), max((a + b for a, b in both), default=0)]
+        assert g.features(text) == pytest.approx([np.log1p(x) for x in want]), text
+
+
 def test_lm(spark, odd, none):
     got = {r.doc_id: r for r in lm_scoring.score_texts(odd).collect()}
     words = {i: [*(w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w), "\n"] for i, t in texts_of(odd).items()}
