@@ -537,16 +537,35 @@ def test_lm(spark, odd, none):
 def test_lm_spelling_is_a_distribution():
     """Over all first bytes the model's probabilities add up to one."""
     mixer, table = lm_scoring.Mixer(), np.zeros((lm_scoring.OFFSETS[-1], 2), np.float32)
-    words = ["abc", "abd", "xyz", "éa"]
-    lm_scoring.count_bits(words, np.array([3.0, 1, 1, 2]), table)
-    mixer.learn(words, np.array([3.0, 1, 1, 2]), table, 0.1)
-    x, gate, bits, word = mixer.inputs(["abc"], table)
+    raw = [x for w in ("abc", "abd", "xyz", "éa") for x in lm_scoring.spelling(w)]
+    lm_scoring.count_bits(raw, np.array([3.0, 1, 1, 2]), table)
+    mixer.learn(raw, np.array([3.0, 1, 1, 2]), table, 0.1)
+    odds = lm_scoring.Odds(table)
+    for got, want in zip(odds.inputs(raw), mixer.inputs(raw, table), strict=True):
+        assert got == pytest.approx(want)
+    x, gate, bits, word = mixer.inputs([b"abc "], table)
     z = mixer.refined(mixer.mixed(x, gate), gate)
     one, zero = -np.logaddexp(0, -z), -np.logaddexp(0, z)
     assert np.exp(one) + np.exp(zero) == pytest.approx(np.ones(len(z)))
-    assert mixer.log2(["abc"], table)[0] == pytest.approx(np.where(bits == 1, one, zero).sum() / np.log(2), rel=1e-4)
-    assert mixer.log2(["abc"], table)[0] > mixer.log2(["qqq"], table)[0]
-    assert mixer.log2(["abc"], table, np.array([1.0]))[0] < mixer.log2(["abc"], table)[0]
+    assert mixer.log2([b"abc "], odds)[0] == pytest.approx(np.where(bits == 1, one, zero).sum() / np.log(2), rel=1e-4)
+    assert mixer.log2([b"abc "], odds)[0] > mixer.log2([b"qqq "], odds)[0]
+    left_out = mixer.inputs([b"abc "], table, 1.0)[0]
+    assert np.abs(left_out).sum() < np.abs(x).sum()
+    assert lm_scoring.spelling("é" * 5000)[0] == ("é" * 2048).encode() and b"".join(lm_scoring.spelling("é" * 5000)) == ("é" * 5000).encode() + b" "
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    """Held-out bits per byte: learned mixing beats the spelling by even odds it starts from,
+    scores don't depend on the order of rows, and held-out rows teach nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    got = lm_scoring.score_texts(docs).toPandas()
+    out = got[got.held_out]
+    assert 0 < (out.bits_per_byte * 1).mean() < 5
+    again = lm_scoring.score_texts(docs.repartition(3)).toPandas()
+    assert sorted(got.base_score.round(6)) == sorted(again.base_score.round(6))
+    other = docs.withColumn("lang", F.when(lm_scoring.held_out("doc_id"), F.concat(F.lit("zz"), F.col("doc_id"))).otherwise(F.col("lang")))
+    third = lm_scoring.score_texts(other).toPandas().set_index("doc_id")
+    assert third.score.to_dict() == pytest.approx(got.set_index("doc_id").score.to_dict())
 
 
 def test_decontamination(spark, odd, none):
