@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, percent
 from ..params import DEFAULT, Params
+from ..schemas import TYPES
 
 ERRORS = ("MISSED_WORD", "MISSED_AYAH", "MUTASHABEH_JUMP")
 
 
 def persisted(events: DataFrame) -> DataFrame:
-    """What the log keeps: everything but positions."""
-    return events.filter("type <> 'POSITION'")
+    """What the log keeps: events, but neither positions nor notices to the client."""
+    return events.filter(F.col("type").isin(*(x for x in TYPES if x != "POSITION")))
 
 
 def _count(kind: str, state: str) -> Column:

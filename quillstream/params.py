@@ -62,6 +62,7 @@ class Params:
     sessions_per_ip: int = 2
     session_minutes: int = 90
     idle_seconds: int = 120
+    bytes_per_second: int = 32000
     rate_factor: float = 1.1
     rate_burst_sec: float = 3.0
     retention_days: int = 30

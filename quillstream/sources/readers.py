@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.sessions import persisted
+from ..schemas import SEGMENT_ROWS_DDL
+
 PAGE_DDL = "verses array<struct<id:bigint,verse_key:string,words:array<struct<id:bigint,char_type_name:string,text_uthmani:string,text_imlaei:string>>>>"
 
 
@@ -127,15 +130,21 @@ def as_messages(events: DataFrame, **extra) -> DataFrame:
 
 
 def append_events(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink of the event log, without positions. A batch has a folder of its own,
-    so a batch that is run again replaces what it wrote."""
+    """A foreachBatch sink of the event log, without positions and notices. A batch has a folder
+    of its own, so a batch that is run again replaces what it wrote."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.filter("type <> 'POSITION'").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        persisted(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def segment_stream(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """Rows of live sessions from files that land in a folder. ``most`` files a micro-batch: under
+    load rows wait in the folder, none is dropped."""
+    return spark.readStream.schema(SEGMENT_ROWS_DDL).option("maxFilesPerTrigger", most).parquet(path)
+
+
 def reload(df: DataFrame, path: str) -> None:
     """Truncate and reload: running it twice leaves one copy."""
     df.write.mode("overwrite").parquet(path)

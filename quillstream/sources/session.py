@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, so that long rows come few at a
+#: time. Only where the session doesn't set it.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not on their path yet."""
+    """Let Python workers import this package when it is not on their path yet, and bound
+    what they are sent at once."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):

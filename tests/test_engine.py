@@ -4,8 +4,10 @@ import itertools
 import json
 import random
 import re
+import time
 import unicodedata
 from collections import defaultdict
+from dataclasses import replace
 from datetime import date
 
 import duckdb
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 from quillstream import schemas
 from quillstream.functions import numeric, register, similarity, text
 from quillstream.operators import alignment, corpus, pairs, search, sessions
-from quillstream.params import Params
+from quillstream.params import DEFAULT, Params
 from quillstream.plans import catalogue
 from quillstream.sources import readers
 from quillstream.sources.session import prepare
 from quillstream.streaming import guards, local_index
 from quillstream.streaming import session as live
+from quillstream.streaming.local_index import IdIndex
 from quillstream.streaming.segmenter import Segmenter
 from quillstream.streaming.tracker import match
 
@@ -229,17 +232,87 @@ def test_stream_equals_batch(spark, tmp_path):
     q = live.track_stream(stream).writeStream.foreachBatch(readers.append_events(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()
-    assert sorted(map(tuple, got)) == [x for x in want if x[3] != "POSITION"] and got
+    assert sorted(map(tuple, got)) == [x for x in want if x[3] not in ("POSITION", "ENDED")] and got
+
+
+def test_idle_sessions_end_and_leave_no_state(spark, tmp_path):
+    """Timers end a session that says nothing more; its state goes, and later rows are ignored."""
+    rows = catalogue.session_rows(prepare(spark), SF).filter("session_id < '2' and kind <> 'end'")
+    rows.filter("seq < 2001").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(live.ROWS_DDL).parquet(str(tmp_path / "in"))
+    soon = replace(DEFAULT, idle_seconds=2)
+    q = live.track_stream(stream, p=soon).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            ended = [r for r in spark.table("idle").filter("type = 'ENDED'").collect()]
+            if ended and len(ended) == rows.select("session_id").distinct().count():
+                break
+            time.sleep(0.5)
+        assert ended and {json.loads(r.payload)["reason"] for r in ended} == {"idle timeout"}
+        assert len({r.session_id for r in ended}) == len(ended) == rows.select("session_id").distinct().count()
+        time.sleep(2)
+        kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert kept == 0
+    finally:
+        q.stop()
+
+
+def test_clock_ends_sessions():
+    ref = [[i, 2, 1, 9, i + 1, w] for i, w in enumerate("bisak talomi verand hamdu".split())]
+    def session(**p):
+        s = live.Session(p=replace(DEFAULT, **p))
+        s.row("open", {"reference": ref, "opening": False, "at": 0})
+        return s
+
+    say = lambda s, at, n=0: [e["payload"].get("reason") for e in s.row("tokens", {"tokens": ["bisak"], "at": at, "bytes": n}) if e["type"] == "ENDED"]
+    s = session(idle_seconds=10, session_minutes=1)
+    assert [say(s, t) for t in (5, 15, 25, 36, 37)] == [[], [], [], ["idle timeout"], []]
+    s = session(session_minutes=1)
+    assert [say(s, t) for t in (30, 60, 61)] == [[], [], ["max duration"]]
+    s = session(bytes_per_second=10)
+    assert [say(s, t, n) for t, n in ((0, 30), (1, 11), (2, 12))] == [[], [], ["rate limit"]]
+    s = session()
+    assert s.row("resume", {"idx": 99})[0]["payload"] == {"idx": 4} and s.row("reposition", {"idx": -3})[0]["payload"] == {"idx": 0}
+    assert [e["payload"] for e in s.row("end", {})] == [{"reason": "user"}] and s.row("end", {}) == []
+
+
+def test_id_sessions(spark, tmp_path):
+    """Id windows through batch and stream: progress, a skipped line, a repeat, a detour."""
+    r = random.Random(4)
+    lines = [(p * 100 + i, p, i, [r.randint(1, 38) for _ in range(r.randint(12, 25))], (p, i) == (2, 5), 4) for p in (1, 2, 3) for i in range(1, 9)]
+    index = IdIndex(lines)
+    assert [x.number for x in index.reference(2, 3)] == [3, 4, 6, 7, 8] and index.reference(2, 3)[2].words[0]["idx"] == 12
+    ids = {x[0]: x[3] for x in lines}
+    assert index.vote(ids[203])[0] == (203, 2, 3, 1.0) and index.vote([1, 2]) == [] and index.vote(ids[205]) == [] or index.vote(ids[205])[0][3] < 0.5
+    script = {"a": [201, 202, 204, 203, 204], "b": [301, 302, 101, 101, 303]}
+    rows = [(k, 0, "open", json.dumps({"passage": 2 if k == "a" else 3, "ids": True})) for k in script]
+    rows += [(k, n, "ids", json.dumps({"ids": ids[x]})) for k, xs in script.items() for n, x in enumerate(xs, 1)]
+    rows += [("auto", 0, "open", json.dumps({"auto": True, "ids": True}))] + [("auto", n, "ids", json.dumps({"ids": ids[x]})) for n, x in enumerate((103, 104, 105), 1)] + [(k, 9, "end", "{}") for k in "ab"]
+    df = prepare(spark).createDataFrame(rows, live.ROWS_DDL)
+    got = sorted(map(tuple, live.track_batch(df, None, index).collect()))
+    kinds = lambda k: [(x[3], x[4]) for x in got if x[0] == k and x[3] not in ("WORD_OK", "POSITION")]
+    assert kinds("a") == [("MISSED_AYAH", "confirmed"), ("REPEAT", "confirmed"), ("ENDED", "confirmed")]
+    assert sorted(kinds("b")) == [("ENDED", "confirmed"), ("MUTASHABEH_JUMP", "confirmed"), ("MUTASHABEH_JUMP", "provisional")]
+    assert [x[3] for x in got if x[0] == "auto" and x[3].startswith("DETECT")] == ["DETECTING", "DETECTED"]
+    # from a line before the earliest match, and both windows heard so far replayed
+    assert json.loads(next(x[5] for x in got if x[3] == "DETECTED"))["ayah"] == 2
+    assert sum(x[0] == "auto" and x[3] == "WORD_OK" for x in got) == 12
+    df.filter("seq < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.filter("seq >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = readers.segment_stream(spark, str(tmp_path / "in"), most=1)
+    q = live.track_stream(stream, None, index).writeStream.format("memory").queryName("ids").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("ids").collect())) == got
 
 
 def test_auto_detection(spark):
     index = index_of(small(spark))
     s = live.Session(index)
     s.row("open", {"auto": True})
-    assert s.row("tokens", {"tokens": ["the"]}) == []
+    assert [e["type"] for e in s.row("tokens", {"tokens": ["the"]})] == ["DETECTING"]
     ev = s.row("tokens", {"tokens": "dog ran over the hill and far".split()})
     assert s.state["phase"] == "tracking" and sum(e["type"] == "WORD_OK" for e in ev) >= 6
-    assert s.row("end", {}) == [] and s.row("tokens", {"tokens": ["the"]}) == []
+    assert [e["type"] for e in s.row("end", {})] == ["ENDED"] and s.row("tokens", {"tokens": ["the"]}) == []
 
 
 def test_sources(spark, tmp_path):
