@@ -17,8 +17,8 @@ and broadcast by itself, so a benchmark of any size is checked against all docum
 Documents are not shuffled.
 
 Defined cases: null document text counts as empty; items whose text is null or has no word match
-nothing; an item of fewer than 5 words is one shingle of all its words; repeated items and
-rows each count; a null id stays null; an empty table on either side gives no hit.
+nothing; an item of fewer than 5 words is one shingle of all its words; repeated
+benchmark rows are one item, repeated documents each count; a null id stays null; an empty table on either side gives no hit.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from ..sources.session import prepare
 
 WORDS, SIMILAR, RADIUS, BITS = 5, 0.8, 23, 8
 #: Characters of the benchmark that are broadcast at once.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,7 +180,7 @@ def _scan(index):
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[Index]:
     """The benchmark, a bounded share at a time."""
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     total = texts.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     n = -(-int(total) // block)
     for k in range(n):

@@ -20,8 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Pieces that a task remembers, in each of two generations.
+REMEMBERED = 250_000
 _BESIDE = re.compile(r"^\s|\s$|\s\s")
 #: ASCII marks: behind a word, a run of them is one word to both pre-tokenisers.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -50,6 +50,13 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.line = self._word("\u010a") if self.mode == "leading" else b""
 
+    def __enter__(self) -> Encoder:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """A task's end: the worker lives on, what it remembers doesn't."""
+        self.new, self.old, self.marks = {}, {}, {}
+
     @staticmethod
     def _mode(pre: dict, normalizer: dict | None) -> str:
         parts = pre.get("pretokenizers", [pre])

@@ -12,8 +12,9 @@ one small aggregation (shards x vnodes rows, whatever the input) reaches the dri
 which settles how many rows of each arc go to which shard. Rows then find their place
 by their rank within the arc. Nothing but built-in functions touches the rows.
 
-Defined cases: a null key hashes like any other value; repeated rows are rows of their
-own and take neighbouring slots; null text has size 8 and the crc of the empty string;
+Defined cases: a null key hashes like any other value; rows that repeat a key are rows of
+their own (and spread over the ring where their texts differ; wholly equal rows take
+neighbouring slots and can be exchanged); null text has size 8 and the crc of the empty string;
 an empty table gives an empty result.
 """
 
@@ -111,10 +112,12 @@ def _arc(h: Column, points: list[tuple[int, int]]) -> Column:
     return F.pmod(F.get(first, cell) + inside, F.lit(len(points)))
 
 
-def ring_shards(df: DataFrame, key: str, shards: int, vnodes: int = VNODES) -> DataFrame:
+def ring_shards(df: DataFrame, key: str, shards: int, vnodes: int = VNODES, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``shard`` int and ``slot`` long; equal counts within one row.
 
-    One aggregation over the key column, one window over narrow arcs. Columns of
+    Rows are hashed by ``key`` and ``ties``: columns that tell rows of a repeated key apart, so
+    that they spread over the ring and their order within an arc doesn't depend on the task
+    that sorts them. One aggregation over these columns, one window over narrow arcs. Columns of
     ``df`` keep their names; only ``shard`` and ``slot`` are replaced if they exist.
     """
     spark = df.sparkSession
@@ -122,14 +125,15 @@ def ring_shards(df: DataFrame, key: str, shards: int, vnodes: int = VNODES) -> D
     taken = {*df.columns}
     name = lambda x: next(y for y in (x + "_" * i for i in range(len(taken) + 2)) if y not in taken)
     arc, hashed, rank = name("__arc"), name("__hash"), name("__rank")
-    located = df.withColumn(hashed, F.xxhash64(F.col(f"`{key}`"))).withColumn(arc, _arc(F.col(f"`{hashed}`"), points))
+    by = [F.col(f"`{c}`") for c in (key, *ties)]
+    located = df.withColumn(hashed, F.xxhash64(*by)).withColumn(arc, _arc(F.col(f"`{hashed}`"), points))
     # at most shards x vnodes rows, whatever the input
     counts = {r[0]: r[1] for r in located.groupBy(arc).agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = settle(points, counts, shards)
     rows = json.dumps([{"a": a, "f": f, "e": e, "s": s, "b": b} for a, f, e, s, b in plan])
     lit = F.from_json(F.lit(rows), "array<struct<a:int,f:bigint,e:bigint,s:int,b:bigint>>")
     ranges = spark.range(1).select(F.inline(lit))
-    w = Window.partitionBy(arc).orderBy(hashed, F.col(f"`{key}`"))
+    w = Window.partitionBy(arc).orderBy(hashed, *by)
     ranked = located.withColumn(rank, F.row_number().over(w).cast("long") - 1)
     parts = ranges.groupBy(F.col("a").alias("a")).agg(F.sort_array(F.collect_list(F.struct("f", "e", "s", "b"))).alias("p"))
     # one row per arc at most: bounded by the ring, not by the data
@@ -143,5 +147,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = VNODES) ->
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
-    placed = ring_shards(narrow, "doc_id", shards, vnodes)
+    placed = ring_shards(narrow, "doc_id", shards, vnodes, ("text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,8 +17,8 @@ u8 (1: doc_id is null), documents x i64, (documents + 1) x u64 first tokens; the
 u64 chunks, the chunks, the bitmap padded to whole blocks, and a u64 rank per block.
 
 Defined cases: null text counts as empty; every document ends with the end id, so none is
-empty; a null doc_id sorts first; rows with the same doc_id follow each other ordered by
-their texts; an empty table gives no segment and an empty result.
+empty; a null doc_id sorts first; rows with the same doc_id follow each other, ordered
+by the start of their texts and then by a hash of the whole; an empty table gives no segment and an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ END = 0
 #: Tokens after which a segment closes (a single longer document makes it longer).
 SEGMENT = 1 << 19
 BLOCK = 512
+#: Characters of a text that order the rows of one doc_id.
+LEAD = 16
 _HEAD = struct.Struct("<4sIQI")
 _WRITTEN = "part int, segment int, first long, tokens long, payload binary"
 
@@ -133,20 +135,21 @@ def _write(path: str):
             row = [[part], [number], [first], [held], [write_segment(docs, ids)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "first", "tokens", "payload"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                sub = batch.slice(at, 64)
-                found = code.encode([x or "" for x in sub.column("text").to_pylist()])
-                for doc, raw in zip(sub.column("doc_id").to_pylist(), found, strict=True):
-                    docs.append(doc)
-                    ids.append(np.frombuffer(raw + end, code.dtype))
-                    held += len(ids[-1])
-                    if held >= SEGMENT:
-                        yield close()
-                        first, number = first + held, number + 1
-                        docs, ids, held = [], [], 0
-        if docs:
-            yield close()
+        with code:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    sub = batch.slice(at, 64)
+                    found = code.encode([x or "" for x in sub.column("text").to_pylist()])
+                    for doc, raw in zip(sub.column("doc_id").to_pylist(), found, strict=True):
+                        docs.append(doc)
+                        ids.append(np.frombuffer(raw + end, code.dtype))
+                        held += len(ids[-1])
+                        if held >= SEGMENT:
+                            yield close()
+                            first, number = first + held, number + 1
+                            docs, ids, held = [], [], 0
+            if docs:
+                yield close()
 
     return run
 
@@ -167,11 +170,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) -> str:
     """Encode all documents, write their segments in ascending doc_id order and return
-    the folder. One shuffle, of the texts, by ranges of doc_id."""
+    the folder. One shuffle, of the texts, by ranges of doc_id and text."""
     spark = prepare(docs.sparkSession)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a doc_id that fills a third of the table is spread by its texts, which come next in order
+    named = docs.select("doc_id", "text", F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"))
+    ordered = named.repartitionByRange(n, "doc_id", "lead", "hash").sortWithinPartitions("doc_id", "lead", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(_write(vocabulary), _WRITTEN).write.option("compression", "none").parquet(folder)
     return folder
 
