@@ -8,8 +8,6 @@ tests hold them against brute force.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +16,12 @@ from ..operators import alignment, corpus, pairs, search, sessions
 from ..sources.session import table
 from ..streaming import guards
 from ..streaming import session as live
+from . import scripted  # noqa: F401 (registers its queries)
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "relocation_search"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ------------------------------------------------------------------ corpus and searches
 
 _WORDS = r"""
@@ -106,7 +93,27 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.similar_pairs(_parts(spark, sf_dir))
 
 
-@query()
+def _lcs(pairs: str) -> str:
+    """Length of the longest common subsequence of all pairs (a, b): bits of a whole number stand
+    for the letters of a, and each letter of b is one step of the recursion."""
+    return f"""lcs(a, b, j, v) AS (
+  SELECT a, b, 1, (1::HUGEINT << length(a)) - 1 FROM {pairs}
+  UNION ALL
+  SELECT a, b, j + 1, ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(a)) - 1)
+  FROM (SELECT *, CAST(list_sum(list_transform(range(1, length(a) + 1), lambda x: CASE WHEN a[x] = b[j] THEN 1::HUGEINT << CAST(x - 1 AS INT) ELSE 0::HUGEINT END)) AS HUGEINT) AS m FROM lcs WHERE j <= length(b))),
+alike AS (SELECT a, b, (length(a) - bit_count(v)) * 200.0 / (length(a) + length(b)) AS score FROM lcs WHERE j = length(b) + 1)"""
+
+
+@query(
+    f"""{_RELOCATION.replace("WITH", "WITH RECURSIVE", 1)},
+top AS (SELECT item_id, doc_id, anchor FROM hits WHERE rank = 1),
+near AS (SELECT q.item_id, q.i, q.word AS token, w.pos, w.word, w.pos - (t.anchor + q.i) AS delta FROM qwords q JOIN top t USING (item_id) JOIN words w ON w.doc_id = t.doc_id AND w.pos BETWEEN t.anchor + q.i - 8 AND t.anchor + q.i + 11),
+pairs AS (SELECT DISTINCT token AS a, word AS b FROM near WHERE token <> word AND least(length(token), length(word)) * 200.0 >= 78 * (length(token) + length(word))),
+{_lcs("pairs")},
+scored AS (SELECT near.*, CASE WHEN token = word THEN 100.0 ELSE alike.score END AS score FROM near LEFT JOIN alike ON a = token AND b = word),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id, i ORDER BY CASE WHEN delta = 0 AND score >= 86 THEN 0 ELSE 1 END, round_even(score / 4, 0) DESC, abs(delta), delta < 0) AS k FROM scored WHERE score >= 78)
+SELECT item_id, CAST(i AS INT) AS i, CAST(pos AS BIGINT) AS pos, round(score, 6) AS score FROM best WHERE k = 1"""
+)
 def batch_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item against the surroundings of its best relocation hit."""
     parts, asked = _parts(spark, sf_dir), _asked(spark, sf_dir)
@@ -177,7 +184,25 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.join(sessions.accuracy(summary), "session_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE frames AS (SELECT CAST(user_id AS VARCHAR) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sin(event_id / 400.0) * 0.4 + 0.4 + CAST(regexp_extract(props, '[0-9]+', 0) AS INT) / 500.0 AS p FROM events),
+-- a buffer of samples from start on; cut: how much of it closes as a segment, keep: where the next one starts
+run(s, i, start, size, speaking, spoken, silent, replay, quiet, seg_start, seg_end, seg_replay) AS (
+  SELECT DISTINCT s, 0, 0, 0, false, false, 0, false, -1, NULL::INT, NULL::INT, NULL::BOOLEAN FROM frames
+  UNION ALL
+  SELECT s, i, start + keep, size - keep, speaking, spoken AND NOT (how IN ('pause', 'nothing')), CASE WHEN how IN ('on', 'nothing') THEN silent ELSE 0 END,
+    CASE how WHEN 'hard' THEN true WHEN 'on' THEN replay WHEN 'nothing' THEN replay ELSE false END, CASE WHEN how IN ('on', 'nothing') THEN quiet ELSE -1 END,
+    CASE WHEN cut > 0 THEN start END, CASE WHEN cut > 0 THEN start + cut END, CASE WHEN cut > 0 THEN replay END
+  FROM (SELECT *, CASE how WHEN 'pause' THEN size WHEN 'smart' THEN quiet WHEN 'hard' THEN size ELSE 0 END AS cut, CASE how WHEN 'on' THEN 0 WHEN 'smart' THEN quiet WHEN 'hard' THEN size - 8000 ELSE size END AS keep
+    FROM (SELECT *, CASE WHEN spoken AND NOT speaking AND silent >= 11200 THEN 'pause' WHEN size < 80000 THEN 'on' WHEN NOT spoken THEN 'nothing' WHEN quiet >= size - 24000 AND quiet > 8000 THEN 'smart' ELSE 'hard' END AS how
+      FROM (SELECT *, CASE WHEN speaking THEN 0 ELSE was + 512 END AS silent
+        FROM (SELECT f.s, f.i, r.start, r.size + 512 AS size, CASE WHEN p >= 0.5 THEN true WHEN p < 0.35 THEN false ELSE speaking END AS speaking, spoken OR p >= 0.5 AS spoken, r.silent AS was, replay, CASE WHEN p < 0.35 THEN r.size + 512 ELSE quiet END AS quiet
+          FROM run r JOIN frames f ON f.s = r.s AND f.i = r.i + 1))))),
+-- what is left at the end closes if there is speech in it
+rest AS (SELECT s, arg_max(start, i) AS start, arg_max(size, i) AS size, arg_max(spoken, i) AS spoken, arg_max(replay, i) AS replay, max(i) + 1 AS i FROM run GROUP BY s),
+found AS (SELECT s, i, seg_start, seg_end, seg_replay FROM run WHERE seg_end IS NOT NULL UNION ALL SELECT s, i, start, start + size, replay FROM rest WHERE spoken AND size > 0)
+SELECT s AS session_id, CAST(row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS INT) AS segment, CAST(seg_start AS BIGINT) AS start, CAST(seg_end AS BIGINT) AS "end", seg_replay AS replay FROM found"""
+)
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invented speech probabilities of the users' events, cut into segments."""
     e = table(spark, sf_dir, "events")
@@ -247,7 +272,14 @@ def resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.resume_points(event_log(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_LOG},
+log2 AS (SELECT session_id, event_id, idx, state, CASE WHEN type = 'MUTASHABEH_JUMP' AND idx % 4 = 0 THEN 'REPEAT' ELSE type END AS type FROM log WHERE idx IS NOT NULL),
+d AS (SELECT *, CASE WHEN type = 'WORD_OK' THEN 'ok' WHEN state = 'provisional' THEN 'missed-provisional' WHEN state = 'confirmed' THEN 'missed' END AS status FROM log2 WHERE type IN ('WORD_OK', 'MISSED_WORD')),
+b AS (SELECT *, last_value(status IGNORE NULLS) OVER (PARTITION BY session_id, idx ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d),
+f AS (SELECT session_id, idx, arg_max(coalesce(status, 'none'), event_id) AS status, max(event_id) AS at FROM b WHERE status IS NOT NULL OR before IS DISTINCT FROM 'ok' GROUP BY 1, 2)
+SELECT session_id, idx, status FROM f WHERE status <> 'none' AND NOT (status = 'missed-provisional' AND EXISTS (SELECT 1 FROM log2 r WHERE r.type = 'REPEAT' AND r.session_id = f.session_id AND r.idx < f.idx AND r.event_id > f.at))"""
+)
 def word_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     return sessions.final_state(log.withColumn("type", F.when((F.col("type") == "MUTASHABEH_JUMP") & (F.col("idx") % 4 == 0), "REPEAT").otherwise(F.col("type"))))
