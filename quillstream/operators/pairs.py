@@ -12,14 +12,14 @@ from .corpus import line_grams
 
 
 def similar_pairs(parts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """source, target, score (0 to 1), both directions. Lines with fewer than two grams take
+    """source, target (each passage and line_no), score (0 to 1), both directions. Lines with fewer than two grams take
     no part, and grams in over ``stop_gram_df`` lines block nothing: both are features of
     the mining. A pair's score is the best ratio of the windows that start at its shared
     grams, so grams self-join (their frequency is bounded by the stop filter) and only the
     windows go to the kernel."""
     prepare(parts.sparkSession)
     g = line_grams(parts, p.gram, p.pair_window).filter(F.col("grams") >= p.min_grams)
-    g = g.select((F.col("passage") * 1_000_000 + F.col("line_no")).alias("line"), "gram", F.col("ahead").alias("window"))
+    g = g.select(F.struct("passage", "line_no").alias("line"), "gram", F.col("ahead").alias("window"))
     few = g.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= 2) & (F.col("df") <= p.stop_gram_df))
     g = g.join(few.select("gram"), "gram", "left_semi")
     a, b = (g.select("gram", F.col("line").alias(x), F.col("window").alias("w" + x)) for x in "ab")

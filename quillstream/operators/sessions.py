@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_even, percent
 from ..params import DEFAULT, Params
 from ..schemas import TYPES
+from ..sources.session import materialise
 
 ERRORS = ("MISSED_WORD", "MISSED_AYAH", "MUTASHABEH_JUMP")
 
@@ -77,6 +78,30 @@ def final_state(events: DataFrame) -> DataFrame:
     return out.filter(~((F.col("status") == "missed-provisional") & F.coalesce(F.col("cleared") > F.col("at"), F.lit(False)))).select("session_id", F.col("place").alias("idx"), "status")
 
 
+def final_lines(events: DataFrame) -> DataFrame:
+    """session_id, ayah, state: lines that a client shows as missed after all events. The last
+    verdict on a line wins, and a revocation takes the line off the list."""
+    last = events.filter("type = 'MISSED_AYAH'").groupBy("session_id", "ayah").agg(F.max_by("state", "event_id").alias("state"))
+    return last.filter("state <> 'revoked'")
+
+
+def final_jump(events: DataFrame) -> DataFrame:
+    """session_id, event_id, state: the jump that a client shows after all events. The last one
+    wins; only a later revocation that refers to this very event takes it off."""
+    jumps = events.filter("type = 'MUTASHABEH_JUMP'")
+    shown = jumps.filter("state <> 'revoked'").groupBy("session_id").agg(F.max_by(F.struct("event_id", "state"), "event_id").alias("j")).select("session_id", "j.event_id", "j.state")
+    off = jumps.filter("state = 'revoked'").select("session_id", F.col("refers_to").alias("event_id"), F.col("event_id").alias("at"))
+    gone = shown.join(off, ["session_id", "event_id"]).filter(F.col("at") > F.col("event_id"))
+    return shown.join(gone, ["session_id", "event_id"], "left_anti")
+
+
+def progress(states: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes: session_id, size of each line: session_id, total words, and words shown as heard."""
+    total = sizes.groupBy("session_id").agg(F.sum("size").alias("total"))
+    heard = states.groupBy("session_id").agg(F.count_if(F.col("status") == "ok").alias("heard"))
+    return total.join(heard, "session_id", "left").select("session_id", "total", F.coalesce("heard", F.lit(0).cast("bigint")).alias("heard"))
+
+
 def resume_points(events: DataFrame) -> DataFrame:
     """One past the last word heard."""
     return events.filter("type = 'WORD_OK' and state = 'confirmed'").groupBy("session_id").agg((F.max("idx") + 1).alias("resume_at"))
@@ -111,12 +136,31 @@ def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key), key, "left_anti")
 
 
+def _running(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``value`` over the rows of the same keys up to that one.
+
+    Few keys would make few tasks of a window over them. Rows are dealt by ranges of (keys,
+    order) instead and added up inside each range; what lies before a range is a sum over
+    one row a range and key, whose number doesn't follow the data."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = materialise(rows.repartitionByRange(parts, *by, order).withColumn("__part", F.spark_partition_id()), "running")
+    totals = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*by, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("__inside", inside).join(base, [*by, "__part"]).withColumn("upto", F.col("__inside") + F.col("__base")).drop("__part", "__inside", "__base")
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median and 95th percentile by index (floor(n / 2), floor(0.95 n)), never interpolated."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("k", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    pick = lambda q: F.max(F.when(F.col("k") == F.floor(F.col("n") * F.lit(q)), F.col(value)))
-    return ranked.groupBy(*by).agg(pick(0.5).alias("median"), pick(0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
+    """Median and 95th percentile by index (floor(n / 2), floor(0.95 n)), never interpolated.
+    Equal values are counted first; ranks are running sums of these counts."""
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("n"))
+    ranked = _running(counts, by, value, "__n").join(F.broadcast(sizes), by)  # one row a key
+    at = lambda q: F.floor(F.col("n") * F.lit(q))
+    pick = lambda q: F.max(F.when((F.col("upto") - F.col("__n") <= at(q)) & (at(q) < F.col("upto")), F.col(value)))
+    return ranked.groupBy(*by).agg(pick(0.5).alias("median"), pick(0.95).alias("p95"), F.max("n").alias("n"))
 
 
 def real_time_factor(rows: DataFrame, by: str, took: str, duration: str, quality: str) -> DataFrame:
@@ -152,8 +196,9 @@ def verify(checks: dict[str, DataFrame]) -> DataFrame:
 def gauge(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """How many intervals of a key are open right after each start (its own included)."""
     points = intervals.select(key, F.col(start).alias("at"), F.lit(1).alias("d"), F.lit(1).alias("opens")).union(intervals.select(key, F.col(end), F.lit(-1), F.lit(0)))
-    w = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumn("open", F.sum("d").over(w)).filter("opens = 1").select(key, "at", "open").distinct()
+    # one row a moment, so that what happens at once counts as one step
+    moments = points.groupBy(key, "at").agg(F.sum("d").alias("d"), F.max("opens").alias("opens"))
+    return _running(moments, [key], "at", "d").filter("opens = 1").select(key, "at", F.col("upto").alias("open"))
 
 
 def streaks(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import alignment, corpus, pairs, search, sessions
 from ..sources.session import table
 from ..streaming import guards
 from ..streaming import session as live
-from . import scripted  # noqa: F401 (registers its queries)
+from . import administration, scripted  # noqa: F401 (they register their queries)
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "relocation_search"
@@ -41,6 +41,17 @@ run AS (SELECT item_id, doc_id, floor((pos - i) / 3.0) AS diagonal, count(*) AS
 hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fi, doc_id, anchor) AS rank FROM run)"""
 
 
+def _lcs(pairs: str) -> str:
+    """Length of the longest common subsequence of all pairs (a, b): bits of a whole number stand
+    for the letters of a, and each letter of b is one step of the recursion."""
+    return f"""lcs(a, b, j, v) AS (
+  SELECT a, b, 1, (1::HUGEINT << length(a)) - 1 FROM {pairs}
+  UNION ALL
+  SELECT a, b, j + 1, ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(a)) - 1)
+  FROM (SELECT *, CAST(list_sum(list_transform(range(1, length(a) + 1), lambda x: CASE WHEN a[x] = b[j] THEN 1::HUGEINT << CAST(x - 1 AS INT) ELSE 0::HUGEINT END)) AS HUGEINT) AS m FROM lcs WHERE j <= length(b))),
+alike AS (SELECT a, b, (length(a) - bit_count(v)) * 200.0 / (length(a) + length(b)) AS score FROM lcs WHERE j = length(b) + 1)"""
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.passages(table(spark, sf_dir, "documents"))
 
@@ -70,7 +81,24 @@ def relocation_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("query").alias("item_id"), F.col("passage").alias("doc_id"), "line_no", F.round("score", 6).alias("score"), F.round("lead", 6).alias("lead"), "locked")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WORDS.strip()}, {_QUERY_WORDS.strip()},
+v AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS first FROM words GROUP BY 1),
+u AS (SELECT DISTINCT word FROM qwords WHERE word NOT IN (SELECT word FROM v)),
+-- which letters a word has once and twice, as bits: a bound of what two words can share
+c AS (SELECT word, list_transform(range(0, 26), lambda x: length(word) - length(replace(word, chr(CAST(97 + x AS INT)), ''))) AS l FROM (SELECT word FROM v UNION SELECT word FROM u)),
+m AS (SELECT word, list_sum(list_transform(range(0, 26), lambda x: CASE WHEN l[x + 1] >= 1 THEN 1::HUGEINT << CAST(x AS INT) ELSE 0 END + CASE WHEN l[x + 1] >= 2 THEN 1::HUGEINT << CAST(x + 26 AS INT) ELSE 0 END)) AS mask,
+  length(word) - list_sum(list_transform(l, lambda y: least(y, 2))) AS rest FROM c),
+pairs AS (SELECT x.word AS a, y.word AS b FROM u JOIN m x ON x.word = u.word JOIN v ON least(length(u.word), length(v.word)) * 200.0 >= 78 * (length(u.word) + length(v.word)) JOIN m y ON y.word = v.word
+  WHERE (bit_count(CAST(x.mask AS HUGEINT) & CAST(y.mask AS HUGEINT)) + least(x.rest, y.rest)) * 200.0 >= 78 * (length(x.word) + length(y.word))),
+{_lcs("pairs")},
+fix AS (SELECT a AS word, b AS known FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, first) AS k FROM alike JOIN v ON v.word = b WHERE score >= 78) WHERE k = 1),
+q AS (SELECT item_id, i, coalesce(known, word) AS word, count(*) OVER (PARTITION BY item_id) AS size FROM qwords LEFT JOIN fix USING (word)),
+run AS (SELECT item_id, doc_id, count(DISTINCT i) AS matched, min(w.pos) AS anchor, min(line_no) AS line_no, min(i) AS fi, any_value(size) AS size
+  FROM q JOIN v USING (word) JOIN words w USING (word) WHERE v.n <= 3000 GROUP BY item_id, doc_id, floor((w.pos - i) / 3.0) HAVING count(DISTINCT i) >= 2),
+top AS (SELECT *, matched / size::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY matched / size::DOUBLE DESC, fi, doc_id, anchor) AS rank FROM run)
+SELECT item_id, rank, doc_id, line_no, anchor, matched, round(score, 6) AS score FROM top WHERE rank <= 5"""
+)
 def location_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(search.location(_parts(spark, sf_dir), _asked(spark, sf_dir)))
 
@@ -88,20 +116,24 @@ def id_vote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("item_id"), "item", "votes", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WORDS.strip()},
+r AS (SELECT doc_id, line_no, position, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS gram, string_agg(word, ' ') OVER (PARTITION BY doc_id, line_no ORDER BY position ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead,
+  count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM words WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY position)),
+g AS (SELECT doc_id, line_no, gram, arg_min(ahead, position) AS ahead FROM r WHERE gram IS NOT NULL AND n >= 4 GROUP BY 1, 2, 3),
+few AS (SELECT gram FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
+x AS (SELECT * FROM g WHERE gram IN (SELECT gram FROM few)),
+met AS (SELECT DISTINCT p.doc_id AS d1, p.line_no AS l1, q.doc_id AS d2, q.line_no AS l2, p.ahead AS wa, q.ahead AS wb FROM x p JOIN x q ON p.gram = q.gram AND (p.doc_id < q.doc_id OR p.doc_id = q.doc_id AND p.line_no < q.line_no)),
+pairs AS (SELECT DISTINCT wa AS a, wb AS b FROM met WHERE wa <> wb AND least(length(wa), length(wb)) * 200.0 >= 72 * (length(wa) + length(wb)) AND length(wa) <= 120),
+{_lcs("pairs")},
+best AS (SELECT d1, l1, d2, l2, max(CASE WHEN wa = wb THEN 100.0 ELSE score END) AS score FROM met LEFT JOIN alike ON a = wa AND b = wb GROUP BY ALL HAVING max(CASE WHEN wa = wb THEN 100.0 ELSE score END) >= 72),
+o AS (SELECT d1, l1, d2, l2, round_even(score / 100, 4) AS score FROM best)
+SELECT d1 AS source_doc, l1 AS source_line, d2 AS target_doc, l2 AS target_line, score FROM o UNION ALL SELECT d2, l2, d1, l1, score FROM o"""
+)
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.similar_pairs(_parts(spark, sf_dir))
-
-
-def _lcs(pairs: str) -> str:
-    """Length of the longest common subsequence of all pairs (a, b): bits of a whole number stand
-    for the letters of a, and each letter of b is one step of the recursion."""
-    return f"""lcs(a, b, j, v) AS (
-  SELECT a, b, 1, (1::HUGEINT << length(a)) - 1 FROM {pairs}
-  UNION ALL
-  SELECT a, b, j + 1, ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(a)) - 1)
-  FROM (SELECT *, CAST(list_sum(list_transform(range(1, length(a) + 1), lambda x: CASE WHEN a[x] = b[j] THEN 1::HUGEINT << CAST(x - 1 AS INT) ELSE 0::HUGEINT END)) AS HUGEINT) AS m FROM lcs WHERE j <= length(b))),
-alike AS (SELECT a, b, (length(a) - bit_count(v)) * 200.0 / (length(a) + length(b)) AS score FROM lcs WHERE j = length(b) + 1)"""
+    found = pairs.similar_pairs(_parts(spark, sf_dir))
+    at = lambda end: [F.col(f"{end}.passage").alias(f"{end}_doc"), F.col(f"{end}.line_no").cast("bigint").alias(f"{end}_line")]
+    return found.select(*at("source"), *at("target"), "score")
 
 
 @query(
