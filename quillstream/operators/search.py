@@ -6,12 +6,15 @@ Queries are many rows, not one: all of them are answered by the same plan.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import floor_div
@@ -30,13 +33,51 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Distinct grams of the queries that are held by every task.
+MOST_GRAMS = 1 << 20
+
+
+def _asked_grams(queries: DataFrame, column: str, n: int) -> DataFrame:
+    """query, i, gram, n: the grams of each query, with how many it has."""
+    q = runs(entries(queries, "query", column, "token"), ["query"], "i", "token", n)
+    return q.select("query", "i", "gram", F.count(F.lit(1)).over(Window.partitionBy("query")).alias("n"))
+
+
+def _matching(rows: DataFrame, key: str, lines: Column, grams: DataFrame, n: int) -> DataFrame | None:
+    """key, line_no, pos, gram: runs of n words (of ``lines``, arrays of words) that are asked
+    for. One pass over each row: what no query asks for never leaves the task. None if the
+    grams are too many to be held by a task."""
+    held = [r.gram for r in grams.select("gram").distinct().limit(MOST_GRAMS + 1).collect()]
+    if len(held) > MOST_GRAMS:
+        return None
+    found = prepare(rows.sparkSession).sparkContext.broadcast(frozenset(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out += [(k, *x) for x in _places(parts.as_py() or [], found.value, n)]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], [key, "line_no", "pos", "gram"])
+
+    return rows.select(key, lines.alias("lines")).mapInArrow(run, f"{key} long, line_no int, pos long, gram string")
+
+
+def _places(lines: list[list[str]], asked: frozenset, n: int) -> list[tuple[int, int, str]]:
+    """(line, place, gram) of the runs that are asked for; runs may cross lines."""
+    words = [w for ws in lines for w in ws]
+    hits = [(at, g) for at, g in enumerate(map(" ".join, zip(*(words[j:] for j in range(n)), strict=False))) if g in asked]
+    ends = list(accumulate(map(len, lines)))
+    return [(bisect_right(ends, at) + 1, at, g) for at, g in hits]
+
+
 def relocation(parts: DataFrame, queries: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """queries: query, tokens. Exact n-gram diagonals: query, rank, passage, line_no, anchor,
     matched, score. Matches in one fixed bucket of diagonals form a run; its score is its
     matches per query gram, its anchor the first matched position."""
-    q = runs(entries(queries, "query", "tokens", "token"), ["query"], "i", "token", p.gram)
-    q = q.select("query", "i", "gram", F.count(F.lit(1)).over(Window.partitionBy("query")).alias("n"))
-    hits = stream_grams(parts, p.gram).join(q, "gram")
+    q = _asked_grams(queries, "tokens", p.gram)
+    places = _matching(parts, "passage", F.col("lines"), q, p.gram)
+    hits = (stream_grams(parts, p.gram) if places is None else places).join(q, "gram")
     run = hits.groupBy("query", "passage", floor_div(F.col("pos") - F.col("i"), p.diagonal_width).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("matched"), F.min("pos").alias("anchor"), F.min("line_no").alias("line_no"), F.min("i").alias("first_index"), F.first("n").alias("n")
     )
@@ -116,10 +157,10 @@ def location(parts: DataFrame, queries: DataFrame, p: Params = DEFAULT) -> DataF
 def id_votes(sequences: DataFrame, queries: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """sequences: item, ids; queries: query, ids. Each query gram votes once for every
     sequence that has it; score = votes per query gram; the smaller item wins ties."""
-    q = runs(entries(queries, "query", "ids", "id"), ["query"], "i", "id", p.id_gram)
-    q = q.select("query", "gram", F.count(F.lit(1)).over(Window.partitionBy("query")).alias("n"))
-    has = runs(entries(sequences, "item", "ids", "id"), ["item"], "i", "id", p.id_gram).select("item", "gram").distinct()
-    votes = has.join(q, "gram").groupBy("query", "item").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+    q = _asked_grams(queries, "ids", p.id_gram).select("query", "gram", "n")
+    places = _matching(sequences, "item", F.array(F.col("ids").cast("array<string>")), q, p.id_gram)
+    has = runs(entries(sequences, "item", "ids", "id"), ["item"], "i", "id", p.id_gram) if places is None else places
+    votes = has.select("item", "gram").distinct().join(q, "gram").groupBy("query", "item").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
     w = Window.partitionBy("query").orderBy((F.col("votes") / F.col("n")).desc(), "item")
     return votes.select("query", "item", "votes", (F.col("votes") / F.col("n")).alias("score"), F.row_number().over(w).alias("rank")).filter(F.col("rank") <= p.top_hits)
 

@@ -9,10 +9,12 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import ArrayType, ShortType
 
 from ..operators.sessions import persisted
 from ..schemas import SEGMENT_ROWS_DDL
@@ -145,6 +147,28 @@ def segment_stream(spark: SparkSession, path: str, most: int = 1000) -> DataFram
     return spark.readStream.schema(SEGMENT_ROWS_DDL).option("maxFilesPerTrigger", most).parquet(path)
 
 
+def audio_stream(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
+    """Chunks of live audio that land as <session>/<seq>.pcm (16-bit mono): session_id, seq,
+    bytes, samples. The sessions' rate guard works on ``bytes``."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    named = raw.option("pathGlobFilter", "*.pcm").option("recursiveFileLookup", True).option("maxFilesPerTrigger", most).load(folder)
+    part = lambda n: F.regexp_extract("path", r"([^/]+)/([0-9]+)\.pcm$", n)
+    return named.select(part(1).alias("session_id"), part(2).cast("int").alias("seq"), F.col("length").alias("bytes"), pcm_samples("content").alias("samples"))
+
+
+@F.pandas_udf(ArrayType(ShortType()))
+def pcm_samples(content: pd.Series) -> pd.Series:
+    """Little-endian 16-bit samples; an odd last byte is dropped."""
+    return content.map(lambda x: np.frombuffer(x[: len(x) // 2 * 2], "<i2"))
+
+
+def snapshot(df: DataFrame, folder: str, day: date, kept: list[str]) -> list[str]:
+    """Write the day's snapshot; a second one of a day replaces the first. Of the days ``kept``
+    so far, those that have become too old."""
+    df.write.mode("overwrite").parquet(f"{folder}/{day.isoformat()}")
+    return snapshots_to_drop(kept, day)
+
+
 def reload(df: DataFrame, path: str) -> None:
     """Truncate and reload: running it twice leaves one copy."""
     df.write.mode("overwrite").parquet(path)
