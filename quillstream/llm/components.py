@@ -1,9 +1,10 @@
 """Connected components of a graph given by its edges, without a driver-side graph.
 
-Each round contracts locally first: every task merges the edges it holds with a
-union-find and hands on a star per local component (a node and its smallest reachable
-node). The stars then run through alternating large-star and small-star steps, which
-need grouped minima and an equi-join only, until nothing changes. Hot nodes (the centre
+Each round contracts locally first: every task merges the edges it holds, at most ``CHUNK``,
+with a union-find and hands on a star per local component (a node and its smallest reachable
+node). Where several tasks were needed, the stars run through alternating large-star and
+small-star steps, which need grouped minima and an equi-join only, and are contracted again,
+until one task holds all that is left or nothing changes. Hot nodes (the centre
 of a star with a third of all nodes) meet partial aggregation in the minimum and a
 splittable sort-merge join in the step that hands the minimum back.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.session import discard, materialise, prepare
 
 #: Edges that a task merges at once; more edges go through in pieces of this size.
-CHUNK = 1_000_000
+CHUNK = 1 << 18
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +77,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _contracted(edges: DataFrame, n: int) -> DataFrame:
+    """n edges in as few tasks as ``CHUNK`` allows, each contracted to its stars."""
+    return edges.coalesce(n // CHUNK + 1).mapInArrow(_contract, "u long, v long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """u, v (longs, null-free) -> (node, component): component is the least node
     reachable. Nodes without an edge to another node are not listed. An empty graph gives
     an empty result; loops and repeated edges change nothing."""
     prepare(edges.sparkSession)
-    stars = materialise(edges.filter("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "stars")
+    stars = materialise(edges.filter("u <> v").distinct(), "edges")
+    named = lambda df: df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
+        n, before = stars.count(), stars
+        stars = materialise(_contracted(before, n).distinct(), "stars")
+        discard(before)
+        if n < CHUNK:  # one task has seen all edges
+            return named(stars)
         # done when every node hangs on one node, and no centre hangs on another
         loose = stars.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
         if not loose and not stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return named(stars)
         before, stars = stars, materialise(_star(_star(stars, True), False), "stars")
         discard(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -110,6 +110,20 @@ def test_simhash(spark, odd, none):
     assert {r.doc_id for r in simhash.one_of_each(odd).collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("chunk", [1 << 18, 7])
+def test_components_in_one_task_and_in_many(spark, chunk, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    r = random.Random(chunk)
+    pairs = [(r.randrange(90), r.randrange(90)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 200 + i) for i in range(30)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(pairs + pairs, "u long, v long").repartition(6)).collect()
+    assert {x.node: x.component for x in got if x.node != x.component} == {x: c for x, c in root.items() if x != c}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 @pytest.mark.parametrize("crowd", [4096, 8])
 def test_anchor_links_lose_nothing(spark, crowd, monkeypatch):
     """Chains and clusters of fingerprints, also when anchors are dealt again."""
