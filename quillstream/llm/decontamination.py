@@ -8,7 +8,8 @@ largest bound first, until no bound exceeds the best similarity found. A window
 each have a SimHash of 64 bits over their shingles. Fingerprints are looked up in a multi-index of 8 blocks of 8 bits: of two fingerprints with at most ``RADIUS`` = 23
 differing bits, some block differs in at most 23 // 8 = 2, so tables that list, for each
 block value, the items within 2 bits guarantee every fingerprint within the radius. (Shingle
-similarities of 0.8 differ in 10 bits on average, by 3 at one standard deviation.) What
+similarities of 0.8 differ in 10 bits on average, by 3 at one standard deviation; a similar
+window beyond the radius is lost, which is estimated at one in a million.) What
 the index returns is verified: the exact similarity is the weight that window and item
 share over the weight of both, a shingle weighing as often as it occurs. 0.8 or more is a hit.
 

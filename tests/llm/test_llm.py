@@ -248,6 +248,13 @@ def test_ring_equals_key_by_key(spark):
     assert {r.doc_id: r.shard for r in sharding.ring_shards(df.select("doc_id"), "doc_id", 5, 8).collect()} == want
 
 
+def test_one_more_shard_moves_few_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, after = ({r.doc_id: r.shard for r in sharding.shard_documents(docs, n).collect()} for n in (24, 25))
+    moved = sum(before[i] != after[i] for i in before)
+    assert moved / len(before) < 0.12 and sum(s == 24 for s in after.values()) == len(before) // 25
+
+
 @functools.cache
 def tokenizer(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
@@ -648,19 +655,98 @@ def test_decontamination_of_moved_blocks():
     assert found > 60 and swapped > 10
 
 
-def test_pipeline(spark):
+def test_pipeline_equals_brute_force(spark):
+    """Stage by stage over a whole small table: what stays, and the pieces of what is left."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, sizes, now = [], [], docs
-    for name, f in corpus_pipeline.STAGES[:-1]:
-        now = f(spark, now, SF)
-        assert now.columns == docs.columns
-        names.append(name)
-        sizes.append(now.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[0] < docs.count() and sizes[-1] > docs.count() // 2
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    stages, left = dict(corpus_pipeline.STAGES), docs
+    kept = lambda df: {r.doc_id: r.text or "" for r in df.collect()}
+
+    grammar = toxicity.learn(docs, labels)
+    left = stages["toxicity"](spark, docs, SF)
+    want = {i: t for i, t in kept(docs).items() if grammar.score(t) < 0.5}
+    assert kept(left) == want and len(want) < docs.count()
+
+    groups = defaultdict(list)
+    for i, t in want.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    want = {min(g)[1]: want[min(g)[1]] for g in groups.values()}
+    left = stages["exact_dedup"](spark, left, SF)
+    assert kept(left) == want
+
+    first = brute_near_copies(want)
+    want = {i: t for i, t in want.items() if first[i] == i}
+    left = stages["simhash_near_dedup"](spark, left, SF)
+    assert kept(left) == want
+
+    items = [decontamination.words_of(r.text) for r in bench.collect()]
+    bags = [Counter(decontamination.shingles_of(w)) for w in items]
+
+    def contaminated(text):
+        words = decontamination.words_of(text)
+        have = {*decontamination.shingles_of(words)}
+        for w, bag in zip(items, bags, strict=True):
+            if w and (len(w) < 5 or have & bag.keys()):  # without a common shingle no window is similar
+                windows = (Counter(decontamination.shingles_of(words[s : s + len(w)])) for s in range(max(1, len(words) - len(w) + 1)))
+                if any(decontamination.similarity(x, bag) >= 0.8 for x in windows):
+                    return True
+        return False
+
+    want = {i: t for i, t in want.items() if not contaminated(t)}
+    left = stages["decontamination"](spark, left, SF)
+    assert kept(left) == want and left.columns == docs.columns
+
     packed = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in now.collect()}
+    sizes = {i: len(whole("word_bpe_49k.json", t)) + 1 for i, t in want.items()}
+    pieces = {(i, k, min(2048, n - 2048 * k)) for i, n in sizes.items() for k in range(-(-n // 2048))}
+    assert {(r.doc_id, r.piece, r.length) for r in packed} == pieces and len(packed) == len(pieces)
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, none):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names."""
+    import corpus_pipeline
+
+    nameless = odd.limit(30).withColumn("doc_id", F.lit(None).cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, SF).count() == 0, name
+        left = stage(spark, odd.union(nameless), SF)
+        assert left.columns == odd.columns and left.count() > 0, name
+        assert left.filter("doc_id is null and text is null").count() <= 1 or name in ("toxicity", "decontamination")
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Null ids, repeated rows and one very long token."""
+    long = "".join(random.Random(1).choices("abcdefghij0123456789", k=5_000_000))
+    rows = [(1, "plain words here"), (1, "plain words here"), (1, "other words"), (None, "plain words here"), (None, None), (None, ""), (2, long), (2, "x " + long + " y")]
+    return prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_operators_on_null_ids_repeats_and_a_long_token(spark, hard):
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    word, byte = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    n = hard.count()
+    assert exact_dedup.exact_duplicates(hard).count() == n and exact_dedup.without_copies(hard).count() == 5
+    assert simhash.simhash_documents(hard).count() == n
+    assert secrets.scan_secrets(hard).count() == n
+    got = sharding.shard_documents(hard, 3).collect()
+    assert len(got) == n and sorted((r.shard, r.slot) for r in got) == [(s, i) for s, m in enumerate((3, 3, 2)) for i in range(m)]
+    assert toxicity.score_documents(hard, labels).count() == n and toxicity.without_toxic(hard, labels).count() == n
+    assert decontamination.contaminations(hard, bench).count() == 0 and decontamination.without_benchmark(hard, bench).count() == n
+    assert near_copies.one_of_each(hard).count() == 5
+    files = token_files.token_digest(hard, byte).orderBy("start").collect()
+    assert len(files) == n and all(b.start == a.start + a.n_tokens for a, b in zip(files, files[1:], strict=False))
+    assert packing.pack(hard, word).agg(F.count_distinct("sequence_id")).first()[0] > 100
+    lm = lm_scoring.score_texts(hard).collect()
+    assert len(lm) == n and all(r.score < 0 for r in lm) and {r.n_tokens for r in lm} == {1, 2, 3, 4}
+
+
+def test_pii_on_null_ids_and_a_long_token(spark, hard, network, monkeypatch):
+    monkeypatch.setattr(pii, "fit", lambda docs: network)
+    assert pii.scan_pii(hard).count() == hard.count()
 
 
 def test_registered():
