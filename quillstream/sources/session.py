@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -78,5 +79,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of text that a task of a shuffle by an explicit number of partitions gets, about.
+PER_TASK = 128 << 20
+
+
+def partitions(texts: DataFrame, column: str = "text") -> int:
+    """How many partitions a shuffle of all texts needs: the session's number, or more where the
+    texts are too many for that (an explicit number is never resized at run time)."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return at_least(texts.sparkSession, size // PER_TASK + 1)
+
+
+def at_least(spark: SparkSession, n: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
