@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..sources.session import materialise, prepare
+from ..sources.session import materialise, partitions, prepare
 
 #: Fixed value: the characters that equality ignores.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -120,14 +120,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _outcomes(docs: DataFrame, carry: bool) -> DataFrame:
     """doc_id, keep_id, group_size, kept, sha and, to ``carry``, the whole row (of the rows that
     may be kept). Shuffles each normalised text once, the rows with it if they are carried."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     ddl = StructType.fromDDL("doc_id long, points long, sha binary, norm binary, lead binary")
     found = StructType.fromDDL("doc_id long, sha binary, length long, keep_id long, size long, points long, first boolean, edge boolean, head boolean, part int")
     if carry:
         ddl, found = (StructType([*x.fields, StructField("row", docs.schema)]) for x in (ddl, found))
     normal = docs.select("doc_id", "text", *more).mapInArrow(_normal, ddl)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions(docs)
     ordered = normal.repartitionByRange(n, "lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "norm", "doc_id").drop("lead")
     runs = materialise(ordered.mapInArrow(_runs, found), "exact-runs")
     # two rows per partition at most: the outcome of runs that may go on elsewhere

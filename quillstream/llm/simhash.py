@@ -39,12 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import materialise, prepare
+from ..sources.session import at_least, materialise, prepare
 from .components import components, local_stars
 
 SEED = 42
 #: Fingerprints at an anchor beyond which it is dealt again.
 CROWD = 4096
+#: Replicas that a task gets, about.
+ANCHORED = 8_000_000
 
 
 def lower_words(text: str | None) -> list[str]:
@@ -221,7 +223,8 @@ def _deal_again(threshold: int):
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     """Distinct long fingerprints ``fp`` -> (u, v): per anchor a spanning forest of the
     pairs within ``threshold``; together these have the components of all such pairs."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # at most 34 anchors a fingerprint for thresholds of 2 and 3
+    n = at_least(fps.sparkSession, fps.count() * 34 // ANCHORED + 1)
     keyed = fps.mapInArrow(_to_anchors(threshold), "anchor long, fp long")
     sizes = keyed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("anchor")
     crowds = materialise(sizes, "crowds")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import prepare, shared_dir
+from ..sources.session import partitions, prepare, shared_dir
 from .encoding import encoder
 
 END = 0
@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) ->
     the folder. One shuffle, of the texts, by ranges of doc_id and text."""
     spark = prepare(docs.sparkSession)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions(docs)
     # a doc_id that fills a third of the table is spread by its texts, which come next in order
     named = docs.select("doc_id", "text", F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"))
     ordered = named.repartitionByRange(n, "doc_id", "lead", "hash").sortWithinPartitions("doc_id", "lead", "hash", "text").select("doc_id", "text")
