@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.session import table
-from . import decontamination, exact_dedup, filter_audit, hard_negatives, lm_scoring, packing, pii, secrets, sharding, simhash, token_files, toxicity
+from . import decontamination, exact_dedup, filter_audit, hard_negatives, lm_scoring, packing, pii, secrets, sharding, simhash, substring_dedup, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -60,11 +61,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_toxicity, op4_token_files, op5_lm_scoring, op6_exact_dedup, op7_decontamination, op8_secrets, op9_sharding, op10_simhash, op11_hard_negatives, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_toxicity, op4_token_files, op5_lm_scoring, op6_exact_dedup, op7_decontamination, op8_secrets, op9_sharding, op10_simhash, op11_hard_negatives, op12_substring_dedup, op13_filter_audit)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
@@ -93,6 +99,20 @@ ORACLES: dict[str, str] = {
         WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 3""",
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * (256 + 49)) AS h FROM d, unnest(range(0, length(h) // 2, 256)) AS u(o)),
+        w AS (SELECT doc_id, o + p AS p, md5(substr(h, 2 * p + 1, 100)) AS s FROM c, unnest(range(greatest(length(h) // 2 - 49, 0))) AS u(p)),
+        m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+        r AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM w JOIN m USING (s) WHERE least < doc_id),
+        i AS (SELECT doc_id, p, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+        e AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY ALL),
+        k AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS prior FROM e),
+        g AS (SELECT doc_id, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY run) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS spans
+              FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(concat(head, substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
     "op13_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
