@@ -8,11 +8,12 @@ doc_id. All windows are decided, whatever their number, on the input as it is:
   wherever they stand. Neighbouring windows of one hash form a piece (about 5 pieces in 100
   bytes). Hashes are compared over ranges, a blob of sorted hashes for each batch and range, and a bit
   for each of them comes back: only pieces whose hash is in several documents go on.
+* A text that a smaller doc_id has as a whole goes as a whole, before all that.
 * Of pieces with one hash and one content, the smallest doc_id is kept; the others' windows are
   all covered. Different contents under one hash are a text (pieces apart by a separator) whose
   suffix array (``suffix_groups``) puts equal windows beside each other: a run of them takes
-  the smallest doc_id of its pieces. Thus an exact copy costs its hashes, and a suffix array holds
-  each different content once.
+  the smallest doc_id of its pieces. Thus a suffix array holds each different content
+  once.
 * Hashes with more than ``LIMIT`` bytes of different contents (the edges of a passage in very many
   documents) are cut again by longer grams, at last by whole windows, which decide themselves.
   Nothing is capped: that is how any number of contents is spread over tasks.
@@ -49,30 +50,33 @@ GRAM, FINER = 16, (32, WINDOW)
 MOST = 60
 #: Bytes of a batch of texts, of a block that is hashed at once, of a hash's contents and of
 #: the texts whose suffixes are sorted together.
-BATCH, HASHED, LIMIT, SORTED = 4 << 20, 1 << 20, 1 << 14, 1 << 20
+BATCH, HASHED, LIMIT, SORTED = 4 << 20, 1 << 17, 1 << 14, 1 << 20
 #: Bytes of hashes that a task compares, about.
 COMPARED = 64 << 20
 
-_RANDOM = np.random.default_rng(50)
-_BYTE = _RANDOM.integers(1 << 63, size=256, dtype=np.uint64)
-_ODD = _RANDOM.integers(1 << 62, size=8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(50).integers(1 << 62, size=8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; the last seven places have none."""
+    out = np.empty(max(0, len(data) - 7), np.uint64)
+    for k in range(8):
+        own = data[k : k + (len(data) - k) // 8 * 8]
+        out[k::8] = np.frombuffer(own.tobytes(), np.uint64)
+    return out
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each gram of ``gram`` bytes, by doubling."""
-    powers, size = [_BYTE[data]], 1
-    while 2 * size <= gram:
-        x = powers[-1]
-        powers.append(x[:-size] * _ODD[len(powers)] + x[size:])
-        size *= 2
-    n = len(data) - gram + 1
-    out, at = powers[-1][:n], size
-    for k in range(len(powers) - 2, -1, -1):
-        if gram - at >= 1 << k:
-            out = out * _ODD[-1] + powers[k][at : at + n]
-            at += 1 << k
-    out = (out ^ (out >> np.uint64(32))) * _ODD[0]
-    return out ^ (out >> np.uint64(29))
+    """A 64-bit hash of each gram of ``gram`` bytes, from its words."""
+    mixed, n = words(data), len(data) - gram + 1
+    mixed ^= mixed >> np.uint64(29)
+    out = mixed[:n] * _ODD[1]
+    for k, at in enumerate([*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])], 2):
+        out += mixed[at : at + n] * _ODD[k]
+    out ^= out >> np.uint64(32)
+    out *= _ODD[0]
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -130,7 +134,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit() -> pa.RecordBatch:
         ids = np.array([i or 0 for i, _ in held], np.int64)
-        values = (number, size, ids.tobytes(), np.array([i is not None for i, _ in held]).tobytes(), np.cumsum([len(t) for _, t in held], dtype=np.int64).tobytes(), b"".join(t for _, t in held))
+        values = (number, size, ids.tobytes(), np.array([i is not None for i, _ in held]).tobytes(), np.cumsum([len(t) for _, t in held], dtype=np.int64).tobytes(), pa.compress(b"".join(t for _, t in held), "zstd", asbytes=True))
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], ["batch", "bytes", "ids", "named", "ends", "data"])
 
     for batch in batches:
@@ -151,7 +155,7 @@ class Batch:
         self.number = row["batch"].as_py()
         self.ids, self.ends = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("ids", "ends"))
         self.named = np.frombuffer(row["named"].as_buffer(), bool)
-        self.data = np.frombuffer(row["data"].as_buffer(), np.uint8)
+        self.data = np.frombuffer(pa.decompress(row["data"].as_buffer(), int(self.ends[-1]), "zstd"), np.uint8)
 
     def pieces(self) -> tuple[np.ndarray, ...]:
         """Those of texts with a doc_id: first window, number of windows, hash, doc_id."""
@@ -254,7 +258,7 @@ def _repeated(ranges: int):
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch and pieces of it -> these with their bytes."""
     for row in _rows(batches):
-        data = np.frombuffer(row["data"].as_buffer(), np.uint8).tobytes()
+        data = Batch(row).data.tobytes()
         wanted = row["wanted"].values
         cuts = zip(wanted.field("start").to_pylist(), wanted.field("windows").to_pylist(), strict=True)
         columns = [wanted.field(c) for c in ("hash", "content", "doc_id", "hot")]
@@ -280,12 +284,12 @@ def covered(contents: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> np.nd
     array = suffix_arrays(symbols, np.append(0, stops[bounds[1:] - 1]))
     of = np.repeat(np.arange(len(contents)), sizes + 1 + last)
     array = array[array + WINDOW <= (starts + sizes)[of[array]]]
-    words = np.lib.stride_tricks.sliding_window_view(np.append(flat, np.zeros(8, np.uint8)), 8).copy().view(np.uint64)[:, 0]
+    eight = words(flat)
     new = np.ones(len(array), bool)
     hash_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[of[array]]
     new[1:] = hash_of[1:] != hash_of[:-1]
     for at in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
-        w = words[array + at]
+        w = eight[array + at]
         new[1:] |= w[1:] != w[:-1]
     first = np.flatnonzero(new)
     mine = ids[of[array]]
@@ -415,11 +419,31 @@ def _cut(with_text: bool):
     return run
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id, sha of rows whose whole text a smaller doc_id has."""
+    small = docs.filter("doc_id is not null").select("doc_id", "sha")
+    first = small.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    return small.join(first, "sha").filter("doc_id > first").select("doc_id", "sha").distinct()
+
+
+def _whole(copies: DataFrame, with_text: bool) -> DataFrame:
+    """The result for copies: all of it goes, or none if it is shorter than a window."""
+    n, gone = F.octet_length("text").cast("long"), F.octet_length("text") >= WINDOW
+    spans = F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
+    kept = F.when(gone, F.lit("")).otherwise(F.col("text"))
+    columns = ["doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(0).alias("n_removed"), spans.alias("spans"), F.sha2(kept, 256).alias("kept_sha256")]
+    return copies.select(*columns, *([kept.cast("binary").alias("kept")] if with_text else []))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed runs, in bytes from the
     document's start), kept_sha256, and the bytes that are left in ``kept``, if asked for."""
     spark = prepare(docs.sparkSession)
-    packed = materialise(docs.select("doc_id", "text").mapInArrow(_packed, _BATCHES), "substring-batches")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    copies = materialise(_copies(named), "substring-copies")
+    others = named.join(copies, ["doc_id", "sha"], "left_anti").select("doc_id", "text")
+    packed = materialise(others.mapInArrow(_packed, _BATCHES), "substring-batches")
     size = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     ranges = at_least(spark, size // COMPARED + 1)
     hashes = packed.mapInArrow(_hashes(ranges), "part int, batch long, hashes binary, ids binary, several binary")
@@ -431,13 +455,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     contents = materialise(repeated.groupBy("hash", "content").agg(F.min("doc_id").alias("doc_id"), first.alias("place")), "substring-contents")
     several = contents.join(_sizes(contents, F.col("place.windows") + WINDOW - 1), "hash")
     wanted = several.groupBy("place.batch").agg(F.collect_list(F.struct("hash", "content", "doc_id", "hot", "place.start", "place.windows")).alias("wanted"))
-    texts = packed.select("batch", "data").join(wanted, "batch").mapInArrow(_fetched, "hash long, content long, doc_id long, hot boolean, data binary")
-    texts = materialise(texts, "substring-texts")
-    inner = materialise(resolved(texts), "substring-windows")
-    discard(texts)
+    wanted = materialise(wanted, "substring-wanted")
+    cut = materialise(packed.join(wanted, "batch").mapInArrow(_fetched, "hash long, content long, doc_id long, hot boolean, data binary"), "substring-texts")
+    discard(wanted)
+    inner = materialise(resolved(cut), "substring-windows")
+    discard(cut)
     least = contents.select("hash", "content", F.col("doc_id").alias("least")).join(inner, ["hash", "content"], "left")
     own = F.when(F.col("least") < F.col("doc_id"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
     gone = repeated.join(least, ["hash", "content"]).select("batch", "start", own.alias("bits")).filter("bits <> 0")
     found = materialise(gone.groupBy("batch").agg(F.collect_list(F.struct("start", "bits")).alias("found")), "substring-found")
     discard(repeated, contents, inner)
-    return packed.join(found, "batch", "left").mapInArrow(_cut(with_text), _CUT + (", kept binary" if with_text else ""))
+    rest = packed.join(found, "batch", "left").mapInArrow(_cut(with_text), _CUT + (", kept binary" if with_text else ""))
+    return rest.union(_whole(named.join(copies, ["doc_id", "sha"], "left_semi"), with_text))
