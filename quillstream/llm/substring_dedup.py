@@ -50,7 +50,7 @@ GRAM, FINER = 16, (32, WINDOW)
 MOST = 60
 #: Bytes of a batch of texts, of a block that is hashed at once, of a hash's contents and of
 #: the texts whose suffixes are sorted together.
-BATCH, HASHED, LIMIT, SORTED = 4 << 20, 1 << 17, 1 << 14, 1 << 20
+BATCH, HASHED, LIMIT, SORTED = 4 << 20, 1 << 17, 1 << 12, 1 << 19
 #: Bytes of hashes that a task compares, about.
 COMPARED = 64 << 20
 
@@ -206,9 +206,8 @@ def _hashes(ranges: int):
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All blobs of a range -> for each batch a bit for each of its hashes: in several documents?"""
-    rows = list(_rows(batches))
     by_part: dict[int, list[dict]] = {}
-    for row in rows:
+    for row in _rows(batches):
         by_part.setdefault(row["part"].as_py(), []).append(row)
     for part, own in by_part.items():
         hashed, ids, several = (np.concatenate([np.frombuffer(r[c].as_buffer(), t) for r in own]) for c, t in (("hashes", np.uint64), ("ids", np.int64), ("several", bool)))
@@ -301,9 +300,11 @@ def covered(contents: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> np.nd
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents ordered by hash -> hash, content, bits."""
-    held: list[tuple] = []
-    size = 0
+    """Contents ordered by hash -> hash, content, bits. Texts are sorted with others of about
+    their size, as a batch takes as many steps as its longest text."""
+    pools: dict[int, list[tuple]] = {}
+    sizes: dict[int, int] = {}
+    text: list[tuple] = []
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         hashed = np.array([r[0] for r in rows], np.int64)
@@ -312,15 +313,35 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(bits)
         return pa.RecordBatch.from_arrays([pa.array(hashed[some]), pa.array(np.array([r[1] for r in rows], np.int64)[some]), pa.array(bits[some])], ["hash", "content", "bits"])
 
+    def pooled() -> int:
+        size = sum(len(r[3]) for r in text)
+        pool = size.bit_length()
+        pools.setdefault(pool, []).extend(text)
+        sizes[pool] = sizes.get(pool, 0) + size
+        text.clear()
+        return pool
+
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "content", "doc_id", "data")), strict=True):
-            if size >= SORTED and row[0] != held[-1][0]:
-                yield emit(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield emit(held)
+            if text and row[0] != text[-1][0] and sizes[pool := pooled()] >= SORTED:
+                yield emit(pools.pop(pool))
+                del sizes[pool]
+            text.append(row)
+    if text:
+        pooled()
+    # what is left over goes together where it is little
+    rest: list[tuple] = []
+    for pool in sorted(pools):
+        rest += pools[pool]
+        if sum(len(r[3]) for r in rest) >= SORTED // 2:
+            yield emit(rest)
+            rest = []
+    if rest:
+        yield emit(rest)
+
+
+_BITS = "hash long, content long, bits long"
+_CHILDREN = "hash long, content long, doc_id long, data binary, of_hash long, of_content long, at int, windows int"
 
 
 def _cut_again(gram: int):
@@ -343,10 +364,6 @@ def _cut_again(gram: int):
     return run
 
 
-_BITS = "hash long, content long, bits long"
-_CHILDREN = "hash long, content long, doc_id long, data binary, of_hash long, of_content long, at int, windows int"
-
-
 def _sizes(contents: DataFrame, size) -> DataFrame:
     """hash, hot: of hashes that have several contents; hot if these are over the limit."""
     return contents.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).filter("n > 1").select("hash", (F.col("size") > LIMIT).alias("hot"))
@@ -447,7 +464,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     ranges = at_least(spark, size // COMPARED + 1)
     hashes = packed.mapInArrow(_hashes(ranges), "part int, batch long, hashes binary, ids binary, several binary")
-    bits = materialise(hashes.repartition(ranges, "part").mapInArrow(_compared, "batch long, part int, mask binary"), "substring-bits")
+    bits = materialise(hashes.repartitionById(ranges, F.col("part")).mapInArrow(_compared, "batch long, part int, mask binary"), "substring-bits")
     parts = bits.groupBy("batch").agg(F.collect_list(F.struct("part", "mask")).alias("parts"))
     repeated = materialise(packed.join(parts, "batch").mapInArrow(_repeated(ranges), _PIECES), "substring-pieces")
     discard(bits)
