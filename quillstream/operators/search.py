@@ -7,24 +7,18 @@ Queries are many rows, not one: all of them are answered by the same plan.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import floor_div
-from ..functions.similarity import ratio
 from ..params import DEFAULT, Params
 from ..sources.session import materialise, prepare
 from .corpus import entries, runs, stream_grams, words
-
-#: Characters of unknown tokens that are compared with the vocabulary at once.
-BLOCK = 1 << 20
+from .fuzzy import nearest_words
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
@@ -85,55 +79,18 @@ def relocation(parts: DataFrame, queries: DataFrame, p: Params = DEFAULT) -> Dat
     return top.select("query", "rank", "passage", "line_no", "anchor", "matched", "score")
 
 
-def _best_known(unknown: list[str], cutoff: float):
-    """Vocabulary rows -> the best word of each batch for each unknown token."""
-    letters = {c: i for i, c in enumerate(sorted({c for t in unknown for c in t}))}
-
-    def bag(ws: list[str]) -> np.ndarray:
-        out = np.zeros((len(ws), len(letters)), np.uint8)
-        for r, w in enumerate(ws):
-            for c, k in Counter(w).items():
-                if c in letters:
-                    out[r, letters[c]] = min(k, 255)
-        return out
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lu = np.array([len(t) for t in unknown])
-        mine = bag(unknown)
-        for frame in frames:
-            ws, firsts = frame.word.tolist(), list(zip(frame.first_passage, frame.first_pos, strict=True))
-            theirs, lw = bag(ws), np.array([len(w) for w in ws])
-            best: dict[int, tuple] = {}
-            for u in range(len(unknown)):
-                # common letters bound the subsequence from above
-                need = cutoff * (lu[u] + lw) / 200
-                near = np.flatnonzero(np.minimum(lu[u], lw) >= need)
-                near = near[np.minimum(theirs[near], mine[u]).sum(1, dtype=np.int64) >= need[near]]
-                for v in near:
-                    s = ratio(unknown[u], ws[v])
-                    if s >= cutoff and (u not in best or (-s, firsts[v]) < best[u][:2]):
-                        best[u] = (-s, firsts[v], ws[v])
-            yield pd.DataFrame([(unknown[u], w, -s, int(f[0]), int(f[1])) for u, (s, f, w) in best.items()], columns=["token", "word", "similarity", "first_passage", "first_pos"])
-
-    return run
-
-
-def corrections(vocabulary: DataFrame, wanted: DataFrame, p: Params = DEFAULT, block: int = BLOCK) -> DataFrame:
+def corrections(vocabulary: DataFrame, wanted: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """token -> the most similar vocabulary word of at least the cutoff; the one that comes
-    first in the corpus on ties. ``wanted`` are query tokens: they go in bounded blocks
-    against the distributed vocabulary, and only each partition's best words are shuffled."""
-    prepare(wanted.sparkSession)
-    unknown = materialise(wanted.select("token").distinct().join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti"), "unknown")
-    size = unknown.agg(F.coalesce(F.sum(F.length("token") + 8), F.lit(0))).first()[0]
-    n, out = -(-int(size) // block), None
-    for k in range(n):
-        mine = [r.token for r in unknown.filter(F.pmod(F.xxhash64("token"), F.lit(n)) == k).orderBy("token").collect()]
-        found = vocabulary.mapInPandas(_best_known(mine, p.match_score_min), "token string, word string, similarity double, first_passage long, first_pos long")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return unknown.select("token", F.col("token").alias("word"), F.lit(100.0).alias("similarity"))
-    best = out.groupBy("token").agg(F.min_by(F.struct("word", "similarity"), F.struct(-F.col("similarity"), "first_passage", "first_pos")).alias("b"))
-    return best.select("token", "b.word", "b.similarity")
+    first in the corpus on ties. Only tokens that aren't words themselves are looked up."""
+    unknown = wanted.select("token").distinct().join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
+    return nearest_words(materialise(unknown, "unknown"), vocabulary, p.match_score_min, ("first_passage", "first_pos"))
+
+
+def _postings_of(parts: DataFrame, postings: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """passage, line_no, pos, word of the words that are looked up, found in one pass over each
+    passage; all postings if these are more words than a task should hold."""
+    found = _matching(parts, "passage", F.col("lines"), looked_up.select(F.col("word").alias("gram")), 1)
+    return postings if found is None else found.withColumnRenamed("gram", "word")
 
 
 def location(parts: DataFrame, queries: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -144,9 +101,11 @@ def location(parts: DataFrame, queries: DataFrame, p: Params = DEFAULT) -> DataF
     vocabulary = materialise(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("passage", "pos"), F.struct("passage", "pos")).alias("f")).select("word", "n", F.col("f.passage").alias("first_passage"), F.col("f.pos").cast("long").alias("first_pos")), "vocabulary")
     asked = entries(queries, "query", "tokens", "token").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("query")))
     fixed = corrections(vocabulary, asked, p)
+    fixed = materialise(fixed, "corrections")
     known = asked.join(fixed.select("token", F.col("word").alias("fix")), "token", "left").withColumn("word", F.coalesce("fix", "token"))
     usable = vocabulary.filter(F.col("n") <= p.common_word_postings).select("word")
-    hits = postings.join(known.join(usable, "word", "left_semi").select("query", "size", "i", "word"), "word")
+    looked_up = known.join(usable, "word", "left_semi").select("query", "size", "i", "word")
+    hits = _postings_of(parts, postings, looked_up).join(looked_up, "word")
     run = hits.groupBy("query", "passage", floor_div(F.col("pos") - F.col("i"), p.diagonal_width).alias("diagonal")).agg(
         F.count_distinct("i").alias("matched"), F.min("pos").alias("anchor"), F.min("line_no").alias("line_no"), F.min("i").alias("first_index"), F.first("size").alias("size")
     )
