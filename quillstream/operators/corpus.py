@@ -32,11 +32,23 @@ def entries(df: DataFrame, key: str, array: str, item: str) -> DataFrame:
     return df.select(key, F.posexplode_outer(array).alias("i", item)).filter("i is not null")
 
 
-def runs(rows: DataFrame, by: list[str], order: str, item: str, n: int, out: str = "gram") -> DataFrame:
-    """``rows`` with the run of n neighbours that starts there; rows without one go."""
-    w = Window.partitionBy(*by).orderBy(order)
+#: Neighbours that one task of a window gets at most, of one key.
+STRETCH = 1 << 16
+
+
+def runs(rows: DataFrame, by: list[str], order: str, item: str, n: int, out: str = "gram", stretch: int = 0) -> DataFrame:
+    """``rows`` with the run of n neighbours that starts there; rows without one go. ``order``
+    counts the rows of a key without gaps, so a key is cut into stretches of known borders: the
+    first n - 1 rows of a stretch are copied to the one before, and a key with any share of all
+    rows is spread over many tasks."""
+    size = stretch or STRETCH
+    own = F.floor(F.col(order) / size)
+    borrowed = (F.col(order) % size < n - 1) & (own > 0)
+    spread = rows.withColumn("__stretch", F.explode(F.when(borrowed, F.array(own, own - 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*by, "__stretch").orderBy(order)
     ahead: list[Column] = [F.col(item).cast("string"), *(F.lead(F.col(item).cast("string"), k).over(w) for k in range(1, n))]
-    return rows.withColumn(out, F.when(ahead[-1].isNotNull(), F.concat_ws(" ", *ahead))).filter(F.col(out).isNotNull())
+    found = spread.withColumn(out, F.when(ahead[-1].isNotNull(), F.concat_ws(" ", *ahead)))
+    return found.filter(F.col(out).isNotNull() & (F.col("__stretch") == own)).drop("__stretch")
 
 
 def stream_grams(parts: DataFrame, n: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import alignment, corpus, pairs, search, sessions
 from ..sources.session import table
-from ..streaming import guards
+from ..streaming import detection, guards
 from ..streaming import session as live
 from . import administration, scripted  # noqa: F401 (they register their queries)
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -81,9 +81,8 @@ def relocation_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("query").alias("item_id"), F.col("passage").alias("doc_id"), "line_no", F.round("score", 6).alias("score"), F.round("lead", 6).alias("lead"), "locked")
 
 
-@query(
-    f"""WITH RECURSIVE {_WORDS.strip()}, {_QUERY_WORDS.strip()},
-v AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS first FROM words GROUP BY 1),
+#: From qwords (item_id, i, word) to their best places, ``top``.
+_LOCATION = f"""v AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS first FROM words GROUP BY 1),
 u AS (SELECT DISTINCT word FROM qwords WHERE word NOT IN (SELECT word FROM v)),
 -- which letters a word has once and twice, as bits: a bound of what two words can share
 c AS (SELECT word, list_transform(range(0, 26), lambda x: length(word) - length(replace(word, chr(CAST(97 + x AS INT)), ''))) AS l FROM (SELECT word FROM v UNION SELECT word FROM u)),
@@ -96,13 +95,39 @@ fix AS (SELECT a AS word, b AS known FROM (SELECT a, b, row_number() OVER (PARTI
 q AS (SELECT item_id, i, coalesce(known, word) AS word, count(*) OVER (PARTITION BY item_id) AS size FROM qwords LEFT JOIN fix USING (word)),
 run AS (SELECT item_id, doc_id, count(DISTINCT i) AS matched, min(w.pos) AS anchor, min(line_no) AS line_no, min(i) AS fi, any_value(size) AS size
   FROM q JOIN v USING (word) JOIN words w USING (word) WHERE v.n <= 3000 GROUP BY item_id, doc_id, floor((w.pos - i) / 3.0) HAVING count(DISTINCT i) >= 2),
-top AS (SELECT *, matched / size::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY matched / size::DOUBLE DESC, fi, doc_id, anchor) AS rank FROM run)
-SELECT item_id, rank, doc_id, line_no, anchor, matched, round(score, 6) AS score FROM top WHERE rank <= 5"""
-)
+top AS (SELECT *, matched / size::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY matched / size::DOUBLE DESC, fi, doc_id, anchor) AS rank FROM run)"""
+
+
+@query(f"WITH RECURSIVE {_WORDS.strip()}, {_QUERY_WORDS.strip()}, {_LOCATION} SELECT item_id, rank, doc_id, line_no, anchor, matched, round(score, 6) AS score FROM top WHERE rank <= 5")
 def location_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(search.location(_parts(spark, sf_dir), _asked(spark, sf_dir)))
 
 
+@query(
+    f"""WITH RECURSIVE {_WORDS.strip()}, {_QUERY_WORDS.strip().replace("qwords AS", "spoken AS")},
+-- four words a row; a window is the last sixteen words up to a row
+rows_of AS (SELECT DISTINCT item_id AS item, i // 4 + 1 AS seq FROM spoken), ends AS (SELECT item, seq, least(seq * 4, (SELECT count(*) FROM spoken s WHERE s.item_id = item)) AS upto FROM rows_of),
+qwords AS (SELECT item || '/' || seq AS item_id, i - greatest(upto - 16, 0) AS i, word FROM ends JOIN spoken ON item_id = item AND i < upto AND i >= upto - 16 WHERE upto >= 4),
+{_LOCATION},
+hit AS (SELECT CAST(split_part(item_id, '/', 1) AS BIGINT) AS item, CAST(split_part(item_id, '/', 2) AS BIGINT) AS seq, doc_id, line_no, score, rank FROM top WHERE rank <= 5),
+best AS (SELECT * FROM hit WHERE rank = 1),
+rival AS (SELECT h.item, h.seq, max(h.score) AS other FROM hit h JOIN best b ON b.item = h.item AND b.seq = h.seq WHERE h.doc_id <> b.doc_id OR abs(h.line_no - b.line_no) > 2 GROUP BY ALL),
+seen AS (SELECT b.*, b.score >= 0.65 AND (other IS NULL OR b.score - other >= 0.2) AS clear FROM best b LEFT JOIN rival r ON r.item = b.item AND r.seq = b.seq),
+-- the last six votes of weaker windows
+vote AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY seq) AS v FROM seen WHERE NOT clear AND score >= 0.4),
+tally AS (SELECT a.item, a.seq, b.doc_id, count(*) AS n, arg_max(b.line_no, (b.score, -b.v)) AS line_no, max(b.score) AS score FROM vote a JOIN vote b ON b.item = a.item AND b.v BETWEEN a.v - 5 AND a.v GROUP BY ALL),
+lead AS (SELECT *, coalesce(lead(n) OVER (PARTITION BY item, seq ORDER BY n DESC), 0) AS next, row_number() OVER (PARTITION BY item, seq ORDER BY n DESC) AS k FROM tally),
+found AS (SELECT item, seq, doc_id, line_no, score FROM seen WHERE clear UNION ALL SELECT item, seq, doc_id, line_no, score FROM lead WHERE k = 1 AND n >= 3 AND n - next >= 2)
+SELECT item AS item_id, seq, doc_id, line_no, round(score, 6) AS score FROM found QUALIFY row_number() OVER (PARTITION BY item ORDER BY seq) = 1"""
+)
+def detected_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as sessions of four words a row: where and when each is located."""
+    said = corpus.entries(_asked(spark, sf_dir), "query", "tokens", "token").withColumn("seq", F.floor(F.col("i") / 4) + 1)
+    rows = said.groupBy(F.col("query").cast("string").alias("session_id"), F.col("seq").cast("int").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
+    found = detection.locks(rows, _parts(spark, sf_dir))
+    return found.select(F.col("session_id").cast("bigint").alias("item_id"), F.col("seq").cast("bigint").alias("seq"), F.col("passage").alias("doc_id"), "line_no", F.round("score", 6).alias("score"))
+
+
 @query(
     f"""WITH {_WORDS.strip()}, {_QUERY_WORDS.strip()},
 g AS (SELECT DISTINCT item, gram FROM (SELECT doc_id * 1000000 + line_no AS item, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS gram FROM words WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY position)) WHERE gram IS NOT NULL),

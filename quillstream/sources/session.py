@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     own = getattr(sc, "_quillstream_dir", None)
+    if own is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if own is None:
         own = sc._quillstream_dir = tempfile.mkdtemp(prefix="quillstream-")
         sc.setCheckpointDir(own)
@@ -71,12 +73,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def _on_store(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Spark has them."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    store, at = _on_store(spark, path)
+    return store.exists(at)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    store, at = _on_store(spark, path)
+    store.delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.scratch)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(t.sparkSession, t.scratch)
 
 
 #: Bytes of text that a task of a shuffle by an explicit number of partitions gets, about.
