@@ -5,7 +5,7 @@ doc_id. All windows are decided, whatever their number, on the input as it is:
 
 * Texts are packed, whole, into batches of some MB, which are written once.
 * Each window belongs to the least hash of the grams of ``GRAM`` bytes inside it, so equal windows meet
-  wherever they stand. Neighbouring windows of one hash form a piece (about 5 pieces in 100
+  wherever they stand. Neighbouring windows of one hash form a piece (about 7 pieces in 100
   bytes). Hashes are compared over ranges, a blob of sorted hashes for each batch and range, and a bit
   for each of them comes back: only pieces whose hash is in several documents go on.
 * A text that a smaller doc_id has as a whole goes as a whole, before all that.
@@ -45,7 +45,7 @@ from .suffix_groups import suffix_arrays
 #: Fixed value: bytes of a string that counts as repeated.
 WINDOW = 50
 #: Bytes of the grams whose least hash a window belongs to, first and for what is cut again.
-GRAM, FINER = 16, (32, WINDOW)
+GRAM, FINER = 24, (32, WINDOW)
 #: Windows of a piece at most, so that they are the bits of a long.
 MOST = 60
 #: Bytes of a batch of texts, of a block that is hashed at once, of a hash's contents and of
