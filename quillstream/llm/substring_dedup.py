@@ -73,10 +73,15 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     out = mixed[:n] * _ODD[1]
     for k, at in enumerate([*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])], 2):
         out += mixed[at : at + n] * _ODD[k]
-    out ^= out >> np.uint64(32)
-    out *= _ODD[0]
-    out ^= out >> np.uint64(29)
-    return out
+    return _mixed(out, 0)
+
+
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """One to one, and even over all values."""
+    x ^= x >> np.uint64(32)
+    x *= _ODD[k]
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -112,12 +117,13 @@ def pieces(data: np.ndarray, ends: np.ndarray, gram: int = GRAM) -> tuple[np.nda
         begin = np.flatnonzero(cut & inside)
         if not len(begin):
             continue
+        # least hashes are small ones: mixed again, they spread over all ranges
         text = of[np.searchsorted(first, begin, "right") - 1]
         stop = np.minimum(np.append(begin[1:], n), last[np.searchsorted(first, begin, "right") - 1])
         count = stop - begin
         parts = -(-count // most)
         rank = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        found.append((np.repeat(begin, parts) + low + most * rank, np.minimum(np.repeat(count, parts) - most * rank, most), np.repeat(least[begin], parts), np.repeat(text, parts)))
+        found.append((np.repeat(begin, parts) + low + most * rank, np.minimum(np.repeat(count, parts) - most * rank, most), np.repeat(_mixed(least[begin], 7), parts), np.repeat(text, parts)))
     if not found:
         return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
     return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
