@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import materialise, prepare
+from ..sources.session import discard, materialise, prepare
 from .spans import Span, Taken, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -336,11 +336,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     prepare(docs.sparkSession)
-    found = materialise(docs.select("text").filter(F.col("text").rlike("[0-9@]")).mapInArrow(_windows, "x binary, y binary"), "pii-windows")
+    # each window once, however many copies of it there are: one footer is one window
+    windows = docs.select("text").filter(F.col("text").rlike("[0-9@]")).mapInArrow(_windows, "x binary, y binary")
+    found = materialise(windows.distinct(), "pii-windows")
     # a share by hash first: the tasks together send about twice the sample, not each its own
     share = 2 * SAMPLE / max(found.count(), 1)
     thin = found.filter(F.pmod(F.xxhash64("y", "x"), F.lit(1_000_000)) < max(1, int(min(share, 1.0) * 1_000_000)))
     rows = thin.orderBy(F.xxhash64("x", "y"), "x").limit(SAMPLE).collect()
+    discard(found)
     x, y = generated(GENERATED)
     if rows:
         read = lambda c: np.array([np.frombuffer(r[c], np.uint8) for r in rows], np.int64)

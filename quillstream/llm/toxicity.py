@@ -24,8 +24,9 @@ tells toxic from clean. Only words of ``LETTERS`` letters are learned, and stems
 ``LONGEST`` letters; that bounds what is counted, all words are read when scoring. A few
 published everyday words stand in before any label is seen. A logistic model over the clause
 weights of the same sample turns them into a score. Held-out documents (crc32 of doc_id mod 5
-is 0) are never learned from, and neither language, source, labels nor doc_id are inputs of a
-score.
+is 0) are never learned from. Slopes are held at zero or above; where labelled texts show no
+threats, a threat with intent and object keeps log odds of its own (``SPOKEN``). Neither language, source, labels nor doc_id are
+inputs of a score.
 
 Defined cases: null and empty texts get the score of a text without any match; labels that are
 null, or of unknown documents, teach nothing; a document with several labels is toxic if one
@@ -236,7 +237,8 @@ class Grammar:
         return insult, threat
 
     def features(self, text: str) -> list[float]:
-        """Of a whole text: insult and threat weights, matched clauses, heaviest clause."""
+        """Of a whole text: insult weight, that of its heaviest threat (faint ones don't add up),
+        matched clauses, heaviest clause."""
         text = text.lower()
         insult = threat = heaviest = 0.0
         clauses, end = 0, -1
@@ -249,7 +251,7 @@ class Grammar:
             m = _END.search(text, at)
             end = m.end() if m else len(text)
             a, b = self.clause(text[start:end])
-            insult, threat, clauses, heaviest = insult + a, threat + b, clauses + (a + b > 0), max(heaviest, a + b)
+            insult, threat, clauses, heaviest = insult + a, max(threat, b), clauses + (a + b > 0), max(heaviest, a + b)
         return [math.log1p(insult), math.log1p(threat), math.log1p(clauses), math.log1p(heaviest)]
 
     def score(self, text: str | None) -> float:
@@ -334,7 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     grammar = Grammar(prior | words, stems)
     found = texts.mapInArrow(_feature_rows(grammar), "f array<double>, y int").groupBy("f", "y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("f", "y"), "f", "y").limit(2 * sample).collect()
     if found:
-        grammar.coefficients = logistic(np.array([r.f for r in found]), np.array([r.y for r in found], float), np.array([r.n for r in found], float))
+        grammar.coefficients = fitted(grammar, *(np.array([r[c] for r in found], float) for c in ("f", "y", "n")))
     discard(texts)
     return grammar
 
@@ -348,18 +350,47 @@ def _feature_rows(grammar: Grammar):
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> list[float]:
-    """Weighted logistic regression by Newton's method, with a ridge on the slopes."""
-    a = np.column_stack([np.ones(len(x)), x])
-    c, r = np.zeros(a.shape[1]), np.diag([1e-6, *[ridge] * x.shape[1]])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-        h = a.T @ (a * (n * p * (1 - p))[:, None]) + r
-        step = np.linalg.solve(h, a.T @ (n * (y - p)) - r @ c)
-        c = c + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return [float(v) for v in c]
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression by Newton's method, with a ridge that draws the slopes to those
+    of ``prior``. No evidence speaks against toxicity: slopes that would be negative are left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        a = np.column_stack([np.ones(len(x)), x[:, used]])
+        to, r = np.concatenate([[0.0], prior[used]]), np.array([1e-6, *[ridge] * len(used)])
+        c = np.zeros(len(to))
+        loss = lambda c, a=a, to=to, r=r: (n * (np.logaddexp(0, a @ c) - y * (a @ c))).sum() + (r * (c - to) ** 2).sum() / 2
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
+            step = np.linalg.solve(a.T @ (a * (n * p * (1 - p))[:, None]) + np.diag(r), a.T @ (n * (y - p)) - r * (c - to))
+            while loss(c + step) > loss(c) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            c = c + step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (c[1:] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(k + 1 for k in used)]] = c
+            return out
+        used = [k for k, slope in zip(used, c[1:], strict=True) if slope >= 0]
+
+
+#: A threat with intent and object has these log odds where labels say nothing of threats: that is
+#: where fewer labelled texts than this hold one that is more than a faint verb.
+DIRECT, SPOKEN, SHOWN = "i will kill you", 1.0, 30
+
+
+def fitted(grammar: Grammar, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[float]:
+    """Coefficients of labelled features. What labels don't show keeps the grammar's own weight."""
+    threat, faint = 1, math.log1p(0.9)
+    shown = n[x[:, threat] > faint].sum() >= SHOWN
+    if shown:
+        return logistic(x, y, n, np.array([1.5, 1.5, 0.5, 0.5])).tolist()
+    kept = [k for k in range(x.shape[1]) if k != threat]
+    c = logistic(x[:, kept], y, n, np.array([1.5, 0.5, 0.5]))
+    direct = grammar.features(DIRECT)
+    others = sum(slope * direct[k] for slope, k in zip(c[1:], kept, strict=True))
+    slope = max(0.0, (SPOKEN - c[0] - others) / direct[threat])
+    return [float(v) for v in (c[0], c[1], slope, *c[2:])]
 
 
 def _score(grammar: Grammar):

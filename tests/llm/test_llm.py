@@ -492,6 +492,25 @@ def test_toxicity(spark, none):
     assert (out.predicted == out.toxic).mean() > 0.98 and out[out.toxic == 1].predicted.mean() > 0.9 and out[out.toxic == 0].predicted.mean() < 0.01
     assert ((got.score >= 0.5).astype(int) == got.predicted).all() and got.score.between(0, 1).all()
     assert toxicity.score_documents(none, labels).count() == 0
+    # the labels show no threats: these keep the grammar's weights
+    g = toxicity.learn(docs, labels)
+    assert min(g.coefficients[1:]) >= 0
+    pad = " Tomorrow we will read on, and so will they." * 20
+    for threat in ("i will kill you", "We will hunt down you and them", "i'll stab him", "ich werde dich töten", "you should drop dead"):
+        assert g.score(threat) > 0.5 or g.clause(threat.lower())[1] < 2, threat
+    assert g.score("i will kill you") > 0.5 < g.score("i will hurt you." + pad)
+    for harmless in ("i will not kill you", 'he said "i will kill you"', "the burn hurt", "they beat the eggs and burn the wood. " * 50, "a lovely day" + pad, ""):
+        assert g.score(harmless) < 0.5, harmless
+
+
+def test_slopes_are_never_negative():
+    r = np.random.default_rng(8)
+    x = np.abs(r.normal(size=(500, 3)))
+    y = (x[:, 0] * 3 - x[:, 1] > 1.5).astype(float)
+    c = toxicity.logistic(x, y, np.ones(500), np.array([1.0, 1.0, 0.0]))
+    assert c[1] > 1 and c[2] == 0 and c[3] >= 0
+    # nothing seen: the prior stays
+    assert toxicity.logistic(x * 0, y, np.ones(500), np.array([1.0, 2.0, 0.5]))[1:].tolist() == pytest.approx([1.0, 2.0, 0.5])
 
 
 def test_toxic_grammar(spark, odd):
@@ -539,7 +558,7 @@ def test_toxic_features_equal_clause_by_clause():
         # a clause counts once something of the lexicon starts a word in it
         start = re.compile(r"(?<![^\W\d_])(?:" + "|".join([*g.words, *g.stems, *toxicity.THREATS, *toxicity.INSULT_PHRASES, *toxicity.THREAT_PHRASES]) + ")")
         both = [x for x, c in zip(both, re.split(r"[.!?;:\n]", text.lower()), strict=True) if start.search(c)]
-        want = [sum(a for a, _ in both), sum(b for _, b in both), sum(a + b > 0 for a, b in both), max((a + b for a, b in both), default=0)]
+        want = [sum(a for a, _ in both), max((b for _, b in both), default=0), sum(a + b > 0 for a, b in both), max((a + b for a, b in both), default=0)]
         assert g.features(text) == pytest.approx([np.log1p(x) for x in want]), text
 
 
