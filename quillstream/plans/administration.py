@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..operators import builds, corpus, pairs, requests, sessions
 from ..sources.session import table
+from ..streaming import guards
 from .registry import query
 from .scripted import _EVENTS, _words, scripted
 
@@ -203,3 +204,24 @@ def flattened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     verses = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(word)).alias("words"))
     pages = verses.groupBy((F.col("l_orderkey") % 50).alias("page")).agg(F.collect_list(F.struct(F.col("l_orderkey").alias("id"), F.lit("").alias("verse_key"), "words")).alias("verses"))
     return corpus.flatten_verses(pages).select(F.col("ayah_id").cast("bigint").alias("ayah_id"), "position", "text_uthmani", "text_imlaei", "text_normalized")
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT CAST(user_id % 20 AS VARCHAR) AS server, event_id AS seq, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i, epoch_us(ts) / 1000000.0::DOUBLE AS secs,
+  CASE WHEN event_type IN ('view', 'click') THEN 'open' ELSE 'end' END AS action, CAST(user_id % 60 AS VARCHAR) AS session, CAST(event_id % 3 AS VARCHAR) AS address FROM events),
+fold(server, i, held, seq, session, outcome) AS (
+  SELECT DISTINCT server, 0::BIGINT, []::STRUCT(session VARCHAR, address VARCHAR, until DOUBLE)[], NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM r
+  UNION ALL
+  SELECT server, i, CASE WHEN action <> 'open' THEN list_filter(live, lambda x: x.session <> asked) WHEN verdict = 'admitted' THEN list_append(live, {'session': asked, 'address': address, 'until': secs + 5400}) ELSE live END,
+    seq, asked, CASE WHEN action = 'open' THEN verdict END
+  FROM (SELECT *, CASE WHEN list_contains(list_transform(live, lambda x: x.session), asked) THEN 'duplicate' WHEN len(live) >= 3 THEN 'server full' WHEN len(list_filter(live, lambda x: x.address = who)) >= 2 THEN 'address full' ELSE 'admitted' END AS verdict
+    FROM (SELECT r.server, r.i, r.seq, r.action, r.session AS asked, r.address, r.address AS who, r.secs, list_filter(f.held, lambda x: x.until > r.secs) AS live FROM fold f JOIN r ON r.server = f.server AND r.i = f.i + 1)))
+SELECT server, seq, session, outcome FROM fold WHERE outcome IS NOT NULL"""
+)
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests to twenty servers: views and clicks ask for a session, others give it back."""
+    e, text = table(spark, sf_dir, "events"), lambda c: c.cast("string")
+    action = F.when(F.col("event_type").isin("view", "click"), "open").otherwise("end")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)
+    asked = e.select(text(F.col("user_id") % 20).alias("server"), F.col("event_id").alias("seq"), at.alias("at"), action.alias("action"), text(F.col("user_id") % 60).alias("session"), text(F.col("event_id") % 3).alias("address"))
+    return guards.admit(asked)

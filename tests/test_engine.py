@@ -210,11 +210,80 @@ def test_final_state_equals_fold(spark):
 
 def test_guards(spark):
     asked = [("open", "a", "1"), ("open", "a", "1"), ("open", "b", "1"), ("open", "c", "1"), ("open", "d", "2"), ("open", "e", "3"), ("end", "a", "1"), ("open", "e", "3")]
-    assert guards.admit(asked) == [("a", "admitted"), ("a", "duplicate"), ("b", "admitted"), ("c", "address full"), ("d", "admitted"), ("e", "server full"), ("e", "admitted")]
+    rows = spark.createDataFrame([("s", i, float(i), *x) for i, x in enumerate(asked)], "server string, seq long, at double, action string, session string, address string").repartition(3)
+    got = [(x.session, x.outcome) for x in guards.admit(rows).orderBy("seq").collect()]
+    assert got == [("a", "admitted"), ("a", "duplicate"), ("b", "admitted"), ("c", "address full"), ("d", "admitted"), ("e", "server full"), ("e", "admitted")]
     t = spark.createDataFrame([("x", 0.1, -0.1, 1.0, 1.0), ("y", 0.9, -0.1, 1.0, 1.0), ("", 0.1, -0.1, 1.0, 1.0), ("z", 0.1, -0.1, 1.0, 0.3)], "text string, no_speech_prob double, avg_logprob double, compression_ratio double, seconds double")
     assert {x.text: x.gated for x in sessions.gate(t).collect()} == {"x": False, "y": True, "": True, "z": True}
 
 
+def test_admission_on_a_stream(spark, tmp_path):
+    """Rejects equal a replay by hand, over two micro-batches; leases that nobody gives back expire and
+    leave no state."""
+    r, now = random.Random(9), time.time()
+    asked = [(f"v{r.randrange(4)}", i, r.choice(["open", "open", "end"]), f"s{r.randrange(9)}", f"a{r.randrange(3)}") for i in range(400)]
+    rows = [(v, i, now - 40_000 + i * 40.0, *x) for v, i, *x in asked]
+    want, held = [], defaultdict(dict)
+    for server, seq, at, action, session, address in rows:
+        mine = held[server] = {k: v for k, v in held[server].items() if v[1] > at}
+        if action == "end":
+            mine.pop(session, None)
+            continue
+        full = [len(mine) >= 3, sum(a == address for a, _ in mine.values()) >= 2]
+        outcome = "duplicate" if session in mine else "server full" if full[0] else "address full" if full[1] else "admitted"
+        if outcome == "admitted":
+            mine[session] = (address, at + 5400)
+        want.append((server, seq, session, outcome))
+    ddl = "server string, seq long, at double, action string, session string, address string"
+    df = prepare(spark).createDataFrame(rows, ddl)
+    assert sorted(map(tuple, guards.admit(df.repartition(4)).collect())) == sorted(want) and {x[3] for x in want} == {"admitted", "duplicate", "server full", "address full"}
+    start = lambda name, df: guards.admit_stream(df).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name))
+    # leases that last: two micro-batches tell what one does
+    fresh = df.withColumn("at", F.lit(now) + F.col("seq") / 100)
+    for low in (0, 200):
+        fresh.filter((F.col("seq") >= low) & (F.col("seq") < low + 200)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start("admitted", stream).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, spark.table("admitted").collect())) == sorted(map(tuple, guards.admit(fresh).collect()))
+    # leases of long ago: one batch, then timers
+    df.coalesce(1).write.parquet(str(tmp_path / "old"))
+    q = start("expired", spark.readStream.schema(ddl).parquet(str(tmp_path / "old"))).trigger(processingTime="500 milliseconds").start()
+    try:
+        rest = lambda: q.lastProgress and q.lastProgress["stateOperators"] and q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        for _ in range(120):
+            if spark.table("expired").count() >= len(want) and rest() == 0:
+                break
+            time.sleep(0.5)
+        assert sorted(map(tuple, spark.table("expired").collect())) == sorted(want) and rest() == 0
+    finally:
+        q.stop()
+
+
+def test_runs_cross_the_borders_of_stretches(spark):
+    r = random.Random(10)
+    rows = [(k, i, r.choice("abc")) for k in range(3) for i in range(r.choice([1, 2, 50, 131]))]
+    df = spark.createDataFrame(rows, "k int, i int, w string").repartition(5)
+    for n, stretch in ((3, 0), (3, 2), (4, 10), (2, 1)):
+        want = sorted((k, i, " ".join(ws)) for k in range(3) for i, ws in enumerate(zip(*([w for q, _, w in rows if q == k][j:] for j in range(n)), strict=False)))
+        if stretch >= n - 1:
+            assert sorted(tuple(x) for x in corpus.runs(df, ["k"], "i", "w", n, stretch=stretch).select("k", "i", "gram").collect()) == want
+        else:
+            assert sorted(tuple(x) for x in corpus.runs(df, ["k"], "i", "w", n).select("k", "i", "gram").collect()) == want
+
+
+def test_edit_distance_by_bits():
+    r = random.Random(11)
+    for _ in range(500):
+        a, b = ([r.randrange(r.choice([2, 6, 300])) for _ in range(r.randint(0, 90))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert similarity.edit_distance(a, b) == similarity.Pattern(a).distance(b) == row[-1]
+
+
 def test_segmenter():
     frames = lambda s: round(s * 16000 / 512)
     run = lambda seg, ps: [x for p in ps if (x := seg.frame(p))]
