@@ -53,6 +53,8 @@ MOST = 60
 BATCH, HASHED, LIMIT, SORTED = 4 << 20, 1 << 17, 1 << 12, 1 << 19
 #: Bytes of hashes that a task compares, about.
 COMPARED = 64 << 20
+#: Copies whose names (a digest and a doc_id) are broadcast at most; more go through a shuffle.
+FEW = 1 << 18
 
 _ODD = np.random.default_rng(50).integers(1 << 62, size=8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -442,20 +444,21 @@ def _cut(with_text: bool):
     return run
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """doc_id, sha of rows whose whole text a smaller doc_id has."""
-    small = docs.filter("doc_id is not null").select("doc_id", "sha")
+def _copies(texts: DataFrame) -> DataFrame:
+    """doc_id, sha, n_bytes and, of texts shorter than a window, the text: of rows whose whole text a
+    smaller doc_id has."""
+    short = F.when(F.octet_length("text") < WINDOW, F.col("text"))
+    small = texts.filter("doc_id is not null").select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes"), short.alias("short"))
     first = small.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    return small.join(first, "sha").filter("doc_id > first").select("doc_id", "sha").distinct()
+    return small.join(first, "sha").filter("doc_id > first").drop("first")
 
 
 def _whole(copies: DataFrame, with_text: bool) -> DataFrame:
     """The result for copies: all of it goes, or none if it is shorter than a window."""
-    n, gone = F.octet_length("text").cast("long"), F.octet_length("text") >= WINDOW
+    n, gone = F.col("n_bytes"), F.col("short").isNull()
     spans = F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
-    kept = F.when(gone, F.lit("")).otherwise(F.col("text"))
-    columns = ["doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(0).alias("n_removed"), spans.alias("spans"), F.sha2(kept, 256).alias("kept_sha256")]
-    return copies.select(*columns, *([kept.cast("binary").alias("kept")] if with_text else []))
+    columns = ["doc_id", "n_bytes", F.when(gone, n).otherwise(0).alias("n_removed"), spans.alias("spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256")]
+    return copies.select(*columns, *([F.coalesce("short", F.lit("")).cast("binary").alias("kept")] if with_text else []))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -465,7 +468,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     named = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
     copies = materialise(_copies(named), "substring-copies")
-    others = named.join(copies, ["doc_id", "sha"], "left_anti").select("doc_id", "text")
+    # where their names are few, texts aren't shuffled to leave them out
+    names = copies.select("doc_id", "sha")
+    few = copies.count() <= FEW
+    others = named.join(F.broadcast(names) if few else names, ["doc_id", "sha"], "left_anti").select("doc_id", "text")
     packed = materialise(others.mapInArrow(_packed, _BATCHES), "substring-batches")
     size = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     ranges = at_least(spark, size // COMPARED + 1)
@@ -489,4 +495,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     found = materialise(gone.groupBy("batch").agg(F.collect_list(F.struct("start", "bits")).alias("found")), "substring-found")
     discard(repeated, contents, inner)
     rest = packed.join(found, "batch", "left").mapInArrow(_cut(with_text), _CUT + (", kept binary" if with_text else ""))
-    return rest.union(_whole(named.join(copies, ["doc_id", "sha"], "left_semi"), with_text))
+    return rest.union(_whole(copies, with_text))

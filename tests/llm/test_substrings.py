@@ -83,7 +83,7 @@ def rows():
     return [*out, (None, texts[20]), (None, texts[30]), (out[30][0], texts[40]), out[31]]
 
 
-@pytest.mark.parametrize("limits", [{}, {"LIMIT": 300, "BATCH": 3000, "SORTED": 500, "COMPARED": 4000}])
+@pytest.mark.parametrize("limits", [{}, {"LIMIT": 300, "BATCH": 3000, "SORTED": 500, "COMPARED": 4000, "FEW": 0}])
 def test_remove_repeats(spark, monkeypatch, rows, limits):
     for k, v in limits.items():
         monkeypatch.setattr(substring_dedup, k, v)
