@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import builds, corpus, pairs, requests, sessions
-from ..sources.session import table
+from ..operators import builds, corpus, keyed, pairs, requests, sessions, substrings
+from ..sources.session import shared_dir, table
 from ..streaming import guards
 from .registry import query
 from .scripted import _EVENTS, _words, scripted
@@ -225,3 +227,28 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)
     asked = e.select(text(F.col("user_id") % 20).alias("server"), F.col("event_id").alias("seq"), at.alias("at"), action.alias("action"), text(F.col("user_id") % 60).alias("session"), text(F.col("event_id") % 3).alias("address"))
     return guards.admit(asked)
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS k, CASE WHEN o_orderdate < TIMESTAMP '1994-01-01' THEN 0 WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 1 ELSE 2 END AS batch, count(*) AS n, max(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS s FROM orders GROUP BY ALL)
+SELECT k, arg_max(n, batch) AS n, arg_max(s, batch) FILTER (s IS NOT NULL) AS s FROM c GROUP BY k"""
+)
+def keyed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of three spans as batches of a keyed table; one of them comes twice."""
+    o, day = table(spark, sf_dir, "orders"), lambda y: F.expr(f"timestamp_ntz '{y}-01-01'")
+    batch = F.when(F.col("o_orderdate") < day(1994), 0).when(F.col("o_orderdate") < day(1996), 1).otherwise(2)
+    status = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")))
+    changes = o.groupBy(F.col("o_custkey").alias("k"), batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), status.alias("s"))
+    kept = keyed.KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", "k", "k long, n long, s string", 16)
+    for b in (0, 1, 1, 2):
+        kept.upsert(changes.filter(F.col("batch") == b).drop("batch"), b)
+    return kept.read()
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 11, 12)))")
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twelve letters of a benchmark item, by the trigrams of blocks of rows."""
+    docs = table(spark, sf_dir, "documents")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 11, 12).alias("literal"))
+    found = substrings.search(docs, substrings.index(docs, "doc_id", "text", 4), asked, "doc_id", "text", 4)
+    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"))
