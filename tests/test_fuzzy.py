@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillstream.functions.similarity import ratio
+from quillstream.functions import text
+from quillstream.functions.similarity import ratio, ratios
 from quillstream.operators import fuzzy, search
 
 
@@ -56,3 +58,19 @@ def test_nearest_words(spark):
     fixed = search.corrections(known, asked.union(known.limit(50).select("word")))
     assert {x.token for x in fixed.collect()} == {t for t in want if t not in vocabulary}
     assert fuzzy.nearest_words(asked.limit(0), known, 78.0).count() == 0 == fuzzy.nearest_words(asked, known.limit(0), 78.0).count()
+
+
+def test_ratios_side_by_side_equal_single_ones():
+    r = random.Random(8)
+    for alphabet, longest in (("ab", 9), ("abcdef é中\U0001f600", 150), ("".join(map(chr, range(0x4E00, 0x6E00))), 90)):
+        a = ["".join(r.choice(alphabet) for _ in range(r.randint(0, longest))) for _ in range(600)]
+        b = [x[::-1] if r.random() < 0.3 else "".join(r.choice(alphabet) for _ in range(r.randint(0, longest))) for x in a]
+        assert list(ratios(a, b)) == [ratio(x, y) for x, y in zip(a, b, strict=True)]
+    assert list(ratios([], [])) == [] and list(ratios(["", ""], ["", "a"])) == [100.0, 0.0]
+
+
+def test_tokens_are_split_without_squeezing(spark):
+    texts = ["", None, "  Ab\t\tcd-ef\x0b\x0cgh \r\n", "x y z w", "É ß ÿ × ÷ 1 a1b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    squeezed = F.filter(F.split(F.coalesce(text.letters("t"), F.lit("")), " "), lambda x: x != "")
+    assert all(a == b for a, b in df.select(squeezed, text.tokens("t")).collect())
