@@ -15,7 +15,8 @@ doc_id. All windows are decided, whatever their number, on the input as it is:
   the smallest doc_id of its pieces. Thus a suffix array holds each different content
   once.
 * Hashes with more than ``LIMIT`` bytes of different contents (the edges of a passage in very many
-  documents) are cut again by longer grams, at last by whole windows, which decide themselves.
+  documents) are cut again by longer grams, at last by whole windows, which decide themselves. Their
+  number grows faster than the input, so such pieces are names without bytes.
   Nothing is capped: that is how any number of contents is spread over tasks.
 * Bits of removed windows go back to the batches, which are read once more and cut.
 
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -349,11 +351,12 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _BITS = "hash long, content long, bits long"
-_CHILDREN = "hash long, content long, doc_id long, data binary, of_hash long, of_content long, at int, windows int"
+_CHILDREN = "hash long, content long, doc_id long, of_hash long, of_content long, at int, windows int"
+_CONTENTS = "hash long, content long, doc_id long, hot boolean, data binary"
 
 
 def _cut_again(gram: int):
-    """Contents -> their pieces by a longer gram, with the content that they are of."""
+    """Contents -> their pieces by a longer gram, with the content that they are of; no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,42 +367,66 @@ def _cut_again(gram: int):
                 data = b"".join(texts)
                 start, count, hashed, of = pieces(np.frombuffer(data, np.uint8), ends, gram)
                 mixed = hashed ^ (part.column("hash").to_numpy().view(np.uint64)[of] * _ODD[1])
-                cuts = [data[s : s + n + WINDOW - 1] for s, n in zip(start.tolist(), count.tolist(), strict=True)]
+                contents = [_content(data[s : s + n + WINDOW - 1]) for s, n in zip(start.tolist(), count.tolist(), strict=True)]
                 parent = [part.column(c).to_numpy()[of] for c in ("hash", "content", "doc_id")]
-                columns = [mixed.view(np.int64), np.array([_content(c) for c in cuts], np.int64), parent[2], pa.array(cuts, pa.binary()), parent[0], parent[1], (start - np.append(0, ends[:-1])[of]).astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["hash", "content", "doc_id", "data", "of_hash", "of_content", "at", "windows"])
+                columns = [mixed.view(np.int64), np.array(contents, np.int64), parent[2], parent[0], parent[1], (start - np.append(0, ends[:-1])[of]).astype(np.int32), count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "content", "doc_id", "of_hash", "of_content", "at", "windows"])
 
     return run
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents and pieces of them -> these with their bytes."""
+    for batch in batches:
+        wanted, texts = pc.list_flatten(batch.column("wanted")), batch.column("data").to_pylist()
+        cuts = zip(pc.list_parent_indices(batch.column("wanted")).to_pylist(), *(wanted.field(c).to_pylist() for c in ("at", "windows")), strict=True)
+        columns = [wanted.field(c) for c in ("hash", "content", "doc_id", "hot")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([texts[k][s : s + n + WINDOW - 1] for k, s, n in cuts], pa.binary())], ["hash", "content", "doc_id", "hot", "data"])
+
+
 def _sizes(contents: DataFrame, size) -> DataFrame:
-    """hash, hot: of hashes that have several contents; hot if these are over the limit."""
-    return contents.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).filter("n > 1").select("hash", (F.col("size") > LIMIT).alias("hot"))
+    """hash, hot: of hashes that have several contents, not all of one document; hot if these are
+    over the limit."""
+    found = contents.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(size).alias("size"))
+    return found.filter("low < high").select("hash", (F.col("size") > LIMIT).alias("hot"))
 
 
 def resolved(contents: DataFrame, grams: tuple[int, ...] = FINER) -> DataFrame:
     """hash, content, doc_id, hot, data of hashes with several contents -> hash, content, bits of
-    the windows that a smaller doc_id has, where there are any."""
-    spark = contents.sparkSession
+    the windows that a smaller doc_id has, where there are any; as a table.
+
+    What is hot grows faster than the input, and its pieces are several times as many as its
+    bytes. So pieces are stored by their names alone; bytes are fetched for those only whose hash has
+    several contents; each table goes as soon as nothing reads it."""
     ordered = contents.filter(~F.col("hot")).repartition("hash").sortWithinPartitions("hash").select("hash", "content", "doc_id", "data")
-    out = ordered.mapInArrow(_sorted, _BITS)
+    out = materialise(ordered.mapInArrow(_sorted, _BITS), "substring-sorted")
     hot = contents.filter("hot")
     if not grams or not hot.limit(1).count():
         return out
     children = materialise(hot.select("hash", "content", "doc_id", "data").mapInArrow(_cut_again(grams[0]), _CHILDREN), "substring-children")
-    under = children.groupBy("hash", "content").agg(F.min("doc_id").alias("doc_id"), F.max("data").alias("data"))
+    done = [out, children]
+    under = children.groupBy("hash", "content").agg(F.min("doc_id").alias("doc_id"))
+    bits = F.lit(0).cast("long")  # at last a piece is a window, and its content decides
+    if grams[1:]:
+        place = F.min_by(F.struct("of_hash", "of_content", "at", "windows"), "doc_id")
+        under = materialise(children.groupBy("hash", "content").agg(F.min("doc_id").alias("doc_id"), place.alias("place")), "substring-contents")
+        several = under.join(_sizes(under, F.col("place.windows") + WINDOW - 1), "hash")
+        piece = F.struct("hash", "content", "doc_id", "hot", "place.at", "place.windows")
+        wanted = several.groupBy("place.of_hash", "place.of_content").agg(F.collect_list(piece).alias("wanted"))
+        fetched = hot.withColumnsRenamed({"hash": "of_hash", "content": "of_content"}).join(wanted, ["of_hash", "of_content"]).select("data", "wanted")
+        cut = materialise(fetched.mapInArrow(_sliced, _CONTENTS), "substring-texts")
+        finer = resolved(cut, grams[1:])
+        discard(cut)
+        done += [under, finer]
     least = under.select("hash", "content", F.col("doc_id").alias("least"))
-    known = children.drop("data").join(least, ["hash", "content"])
-    if grams[1:]:  # below, a piece is a window, and its content decides
-        again = materialise(under, "substring-contents")
-        finer = resolved(again.join(_sizes(again, F.length("data")), "hash"), grams[1:])
-        known = known.join(finer, ["hash", "content"], "left")
-    else:
-        known = known.withColumn("bits", F.lit(None).cast("long"))
-    every = F.expr("shiftleft(1L, windows) - 1")
-    own = F.when(F.col("least") < F.col("doc_id"), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
-    bits = known.withColumn("bits", own).filter("bits <> 0").groupBy(F.col("of_hash").alias("hash"), F.col("of_content").alias("content")).agg(F.bit_or(F.expr("shiftleft(bits, at)")).alias("bits"))
-    return out.union(spark.createDataFrame([], _BITS).union(bits))
+    known = children.join(least, ["hash", "content"])
+    if grams[1:]:
+        known, bits = known.join(finer, ["hash", "content"], "left"), F.coalesce("bits", F.lit(0).cast("long"))
+    own = F.when(F.col("least") < F.col("doc_id"), F.expr("shiftleft(1L, windows) - 1")).otherwise(bits)
+    gone = known.withColumn("bits", own).filter("bits <> 0").groupBy(F.col("of_hash").alias("hash"), F.col("of_content").alias("content")).agg(F.bit_or(F.expr("shiftleft(bits, at)")).alias("bits"))
+    both = materialise(out.union(gone), "substring-windows")
+    discard(*done)
+    return both
 
 
 # --- back to the documents
@@ -485,9 +512,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     several = contents.join(_sizes(contents, F.col("place.windows") + WINDOW - 1), "hash")
     wanted = several.groupBy("place.batch").agg(F.collect_list(F.struct("hash", "content", "doc_id", "hot", "place.start", "place.windows")).alias("wanted"))
     wanted = materialise(wanted, "substring-wanted")
-    cut = materialise(packed.join(wanted, "batch").mapInArrow(_fetched, "hash long, content long, doc_id long, hot boolean, data binary"), "substring-texts")
+    cut = materialise(packed.join(wanted, "batch").mapInArrow(_fetched, _CONTENTS), "substring-texts")
     discard(wanted)
-    inner = materialise(resolved(cut), "substring-windows")
+    inner = resolved(cut)
     discard(cut)
     least = contents.select("hash", "content", F.col("doc_id").alias("least")).join(inner, ["hash", "content"], "left")
     own = F.when(F.col("least") < F.col("doc_id"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.coalesce("bits", F.lit(0).cast("long")))

@@ -93,3 +93,21 @@ def test_remove_repeats(spark, monkeypatch, rows, limits):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(x[2] for x in got) > 10_000
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_pieces_cut_again_are_names_and_go(spark, monkeypatch, rows):
+    """Their number grows faster than the input: no bytes are stored with them, and no table of them stays."""
+    monkeypatch.setattr(substring_dedup, "LIMIT", 300)
+    seen, gone, write, drop = {}, [], substring_dedup.materialise, substring_dedup.discard
+
+    def kept(df, tag):
+        out = write(df, tag)
+        seen[out.scratch] = (tag, out.columns)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialise", kept)
+    monkeypatch.setattr(substring_dedup, "discard", lambda *tables: (gone.extend(t.scratch for t in tables), drop(*tables)))
+    substring_dedup.remove_repeats(prepare(spark).createDataFrame(rows, "doc_id long, text string")).count()
+    children = [columns for tag, columns in seen.values() if tag == "substring-children"]
+    assert len(children) == 2 and not any("data" in columns for columns in children)
+    assert {tag for path, (tag, _) in seen.items() if path not in gone} == {"substring-copies", "substring-batches", "substring-found"}
