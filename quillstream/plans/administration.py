@@ -250,5 +250,5 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve letters of a benchmark item, by the trigrams of blocks of rows."""
     docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 11, 12).alias("literal"))
-    found = substrings.search(docs, substrings.index(docs, "doc_id", "text", 4), asked, "doc_id", "text", 4)
+    found = substrings.search_once(docs, asked, "doc_id", "text", 4)
     return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"))
