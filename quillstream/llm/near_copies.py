@@ -1,11 +1,11 @@
-"""Near copies by exact similarity: a self-join over word shingles with prefix filtering.
+"""Near copies: SimHash groups them first, an exact self-join over word shingles links the rest.
 
 Two documents link if the Jaccard similarity of their sets of shingles (5 words in lower
 case) is 0.8 or more; a group is a connected component of those links. No link is lost:
 of n shingles in any order that is the same for all documents, the first
 n - ceil(0.8 n) + 1 hold a shingle of every document that is similar enough. (Fingerprints
-can't give that at a radius an anchor code can cover: at similarity 0.8 they differ in 10
-of 64 bits on average, by 3 at one standard deviation.)
+alone can't give that at a radius an anchor code can cover: at similarity 0.8 they differ in
+10 of 64 bits on average, by 3 at one standard deviation.)
 
 The order puts shingles that are frequent in a sample of the documents last, so that
 boilerplate seldom brings documents together; the sample decides the order only, never
@@ -32,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import discard, materialise, partitions, prepare
+from . import simhash
 from .components import components
 
 WORDS = 5
+#: Bits in which fingerprints of the first groups differ at most.
+RADIUS = 2
 #: Buckets up to this size have all their pairs verified at once.
 SMALL = 32
 #: One in so many documents is sampled for the order; a shingle counts as frequent from
@@ -119,8 +122,9 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             sets = [shingle_set(x.as_py()) for x in part.column("text")]
-            cols = [pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(parities, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), *cols], ["doc_id", "t", "key", "n", "bits"])
+            fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+            cols = [pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(parities, sets), pa.binary()), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), *cols], ["doc_id", "t", "key", "n", "bits", "fp"])
 
 
 def _explode(order):
@@ -318,10 +322,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     first = materialise(least.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-first")
     links = _whole(first, sets)
     parts = components(links)
-    of = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     left = some.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(first, ["u", "v"], "left_anti")
-    cross = left.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
-    rest = materialise(cross.select("u", "v"), "near-rest")
+    rest = materialise(_apart(left, parts), "near-rest")
     out = materialise(links.union(_whole(rest, sets)), "near-links")
     discard(some, rows, sets, first, rest, links)
     return out
@@ -339,19 +341,40 @@ def _order(texts: DataFrame):
     return sc.broadcast((shingles[by_hash], rank[by_hash]))
 
 
+def _close(classes: DataFrame) -> DataFrame:
+    """Pairs u, v of documents whose fingerprints are equal or linked within ``RADIUS`` bits: of each
+    fingerprint all with its least, and the least ones of a forest over the anchors."""
+    heads = materialise(classes.groupBy("fp").agg(F.min("key").alias("head")), "near-heads")
+    same = classes.join(heads, "fp").filter("key <> head").select(F.col("head").alias("u"), F.col("key").alias("v"))
+    of = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"h{k}"))
+    near = simhash.links(heads.select("fp"), RADIUS).distinct().join(of("u"), "u").join(of("v"), "v")
+    out = materialise(same.union(near.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))), "near-close")
+    discard(heads)
+    return out
+
+
+def _apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one component."""
+    of = lambda k: grouped.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, t (a hash of the text), and ``first``: doc_id and t of the group's document
     with the smallest doc_id, null last."""
     prepare(docs.sparkSession)
     parts = partitions(docs)
     texts = docs.select("doc_id", "text", _text_hash().alias("t"))
-    marked = materialise(texts.mapInArrow(_mark, "doc_id long, t long, key long, n int, bits binary"), "near-marked")
+    marked = materialise(texts.mapInArrow(_mark, "doc_id long, t long, key long, n int, bits binary, fp long"), "near-marked")
     named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
-    classes = materialise(marked.groupBy("key").agg(F.min(named).alias("least"), F.min(F.struct("doc_id", "t")).alias("any"), F.first("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
+    classes = materialise(marked.groupBy("key").agg(F.min(named).alias("least"), F.min(F.struct("doc_id", "t")).alias("any"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "near-classes")
+    close = _close(classes)
+    links = _verified(close, classes, texts)
+    grouped = components(links)
     tokens = texts.select("text").mapInArrow(_explode(_order(texts)), "token long, key long, n int")
     found = materialise(tokens.repartition(parts, "token").sortWithinPartitions("token", "key").mapInArrow(_first_pairs(SMALL), "u long, v long, members binary").distinct(), "near-buckets")
     large = materialise(found.filter("members is not null").select(F.xxhash64("members").alias("bucket"), "members").mapInArrow(_members, "bucket long, key long, n int"), "near-large")
-    links = _verified(found.filter("u is not null").select("u", "v"), classes, texts)
+    links = links.union(_verified(_apart(found.filter("u is not null").select("u", "v"), grouped), classes, texts))
     grouped = components(links)
     if large.limit(1).count():
         for whole in (False, True):
@@ -363,7 +386,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     root = classes.join(grouped, classes.key == grouped.node, "left").select("key", F.coalesce("component", "key").alias("root"), "least")
     least = root.groupBy("root").agg(F.min("least").alias("first"))
     of_key = materialise(root.join(least, "root").select("key", "first"), "near-groups")
-    discard(classes, found, large)
+    discard(classes, close, found, large)
     return marked.select("doc_id", "t", "key").join(of_key, "key").select("doc_id", "t", "first")
 
 

@@ -63,11 +63,12 @@ def shingles(words: list[str], k: int) -> list[str]:
 
 def fingerprint(text: str | None, k: int = 3) -> int:
     """Unsigned 64-bit SimHash; 0 without words. Counts run over the whole text."""
-    return int(_majority([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) for x in shingles(lower_words(text), k)]))
+    return int(majority([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) for x in shingles(lower_words(text), k)]))
 
 
-def _majority(hashes: list[int]) -> np.uint64:
-    if not hashes:
+def majority(hashes: list[int] | np.ndarray) -> np.uint64:
+    """The bits that are set in over half the hashes."""
+    if not len(hashes):
         return np.uint64(0)
     raw, sums = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
     for at in range(0, len(raw), 1 << 16):

@@ -467,6 +467,25 @@ def test_secrets_that_only_propagation_finds():
     assert [loop[s:e] for _, s, e in secrets.literal_spans(loop)] == ["Zx9Kq2Lm"]
 
 
+def test_near_copies_are_grouped_by_fingerprints_first(spark, monkeypatch):
+    """Fingerprints within the radius link as by brute force, and what they grouped isn't verified again."""
+    r = random.Random(37)
+    fps = [r.getrandbits(64) for _ in range(60)]
+    fps += [fp ^ sum(1 << b for b in r.sample(range(64), n)) for fp in fps[:40] for n in (0, 1, 2, 3)]
+    rows = [(i, int(np.uint64(fp).astype(np.int64))) for i, fp in enumerate(fps)]
+    got = near_copies._close(spark.createDataFrame(rows, "key long, fp long")).collect()
+    u, v = (np.array(x) for x in zip(*got, strict=True))
+    root = dict(zip(*(x.tolist() for x in components.local_stars(u, v)), strict=True))
+    i, j = np.nonzero(np.bitwise_count(np.array(fps, np.uint64)[:, None] ^ np.array(fps, np.uint64)[None, :]) <= near_copies.RADIUS)
+    assert root == dict(zip(*(x.tolist() for x in components.local_stars(i, j)), strict=True))
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(5)) for _ in range(3000)]
+    docs = [(k, " ".join([*words, f"end{k}"])) for k in range(6)]
+    left, apart = [], near_copies._apart
+    monkeypatch.setattr(near_copies, "_apart", lambda pairs, grouped: left.append((pairs.count(), apart(pairs, grouped).count())) or apart(pairs, grouped))
+    found = near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.first.doc_id for x in found} == {0} and left[-2][0] == 15 and left[-2][1] == 0
+
+
 def test_secrets_take_linear_time():
     for text in ("a=b=" * 100_000, "a" * 400_000, 'a="' * 130_000, "x" * 10 + " " * 400_000, "\n".join('a = "x9Y%dzz8"; pwd = a' % i for i in range(8000))):
         began = time.process_time()
