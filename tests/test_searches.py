@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from quillstream.operators import search, substrings
 from quillstream.sources.session import prepare
 
@@ -49,3 +51,23 @@ def test_search_once_shuffles_no_trigrams(spark, monkeypatch):
         for k, v in limits.items():
             monkeypatch.setattr(substrings, k, v)
         assert {tuple(x) for x in substrings.search_once(df, wanted, "id", "text", 16).collect()} == want
+
+
+def test_asked_grams_are_found_as_by_plain_python():
+    """Runs over lines, never over rows; null and empty rows and lines, words with blanks."""
+    r = random.Random(20)
+    for n in (1, 2, 4):
+        for _ in range(60):
+            pool = r.choice(["a b c".split(), ["a", "b", "a b", "c", ""], ["é", "öx", "b"]])
+            word = lambda pool=pool: r.choice(pool)
+            rows = [None if r.random() < 0.1 else [[word() for _ in range(r.randint(0, 6))] for _ in range(r.randint(0, 4))] for _ in range(8)]
+            grams = frozenset(" ".join(word() for _ in range(n)) for _ in range(r.randint(0, 6)))
+            want = []
+            for k, lines in enumerate(rows):
+                flat = [(w, i + 1) for i, ws in enumerate(lines or []) for w in ws]
+                for at in range(len(flat) - n + 1):
+                    if (g := " ".join(w for w, _ in flat[at : at + n])) in grams:
+                        want.append((k, flat[at][1], at, g))
+            given = pa.array([[], *rows, []], pa.list_(pa.list_(pa.string()))).slice(1, len(rows))
+            row, line, pos, found = search.Asked(grams, n).places(given)
+            assert list(zip(row.tolist(), line.tolist(), pos.tolist(), found, strict=True)) == want
