@@ -12,12 +12,18 @@ stop. The model predicts each bit of the spelling:
 * a token's probability mixes that spelling with the token's frequency in the corpus and
   in one of ``CLASSES`` classes of documents (the most frequent values of lang, and the rest);
 * a text's class is not told: all classes predict side by side, and each token shifts the
-  trust between them by Bayes' rule. Over a whole text that is the class-weighted sum of
-  its probabilities, so the order of the tokens needn't be kept.
-
-Contexts end with the word, so the cost of a token in a class depends on the token alone:
-each distinct token is scored once, however often it occurs, and a document's score comes from
-sums over its tokens. Counts, tables and weights cover all training documents. Tables, weights and the
+  trust between them by Bayes' rule.
+
+Texts are then read in order (``Reader``): the ``CODED`` most frequent tokens and an escape to all others
+have a Huffman code, and each bit of it is predicted by the token's frequency, that in the class that
+the text so far speaks for, and what followed the word before and the two words before, in hashed
+tables. Their log odds are mixed by weights that the counts of these contexts select; the weights are
+learned online in one pass over the training texts, each predicted before it is counted, and go on
+moving within each text while it is scored (every text from the same start, so that its score doesn't
+depend on others).
+
+Only the spelling behind an escape ends with the word, so that its cost in a class depends on the token
+alone and each distinct token is spelled once, however often it occurs. Counts, tables and weights cover all training documents. Tables, weights and the
 ``FREQUENT`` most frequent tokens, whose sizes are fixed, are broadcast; every other
 token meets its documents in a join by token, which no frequent token takes part in.
 
@@ -34,6 +40,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import materialise, prepare
+from ..sources.session import PER_TASK, discard, materialise, prepare
 from .simhash import lower_words
 
 #: Slots of the predictors' tables, as powers of two: 1 to 4 bytes, and the prefix.
@@ -62,6 +69,12 @@ WORDS, BYTES, PIECE = 2048, 1 << 15, 4096
 HELD = 800_000
 #: Ranges of the table that are summed each by itself.
 BLOCKS = 64
+#: Tokens with a code; slots of what follows a word, and two words, as a power of two; gates of that.
+CODED, PAIRS, READS = (1 << 12) - 1, 20, 16
+#: Words after which a text's weights move, by how much, and how many bits it takes.
+STEP, RATE, CALM = 32, 1.0, 100
+#: Texts that are read side by side.
+TEXTS = 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _N1, _N2, _N3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _B = np.uint64(0x100000001B3)
@@ -240,6 +253,164 @@ class Mixer:
         return self
 
 
+# ------------------------------------------------------------------ texts, word by word
+
+
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch, n of them."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Code:
+    """Huffman code of some tokens and, as the last symbol, the escape to all others: the nodes and
+    bits of each symbol, and each node's log odds over all classes and in each. ``by``: symbols x classes."""
+
+    def __init__(self, by: np.ndarray):
+        leaves = len(by)
+        order = np.argsort(by.sum(1), kind="stable")
+        weights, parent, side = by.sum(1)[order].tolist(), [0] * (2 * leaves - 1), [0] * (2 * leaves - 1)
+        i, j = 0, leaves
+        for m in range(leaves, 2 * leaves - 1):
+            total = 0.0
+            for bit in (0, 1):
+                if i < leaves and (j >= m or weights[i] <= weights[j]):
+                    k, i = i, i + 1
+                else:
+                    k, j = j, j + 1
+                parent[k], side[k] = m, bit
+                total += weights[k]
+            weights.append(total)
+        up, sides, at, leaf = np.array(parent), np.array(side, np.int8), np.arange(leaves), order
+        found: list[tuple] = []
+        while len(left := np.flatnonzero(at < 2 * leaves - 2)):
+            at, leaf = at[left], leaf[left]
+            found.append((leaf, up[at] - leaves, sides[at]))
+            at = up[at]
+        leaf, node, bit = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ([],) * 3))
+        by_leaf = np.argsort(leaf, kind="stable")
+        self.size = np.bincount(leaf.astype(np.int64), minlength=leaves)
+        self.start = np.cumsum(self.size) - self.size
+        self.node, self.bit = node[by_leaf].astype(np.int32), bit[by_leaf].astype(np.int8)
+        edge, of = node * 2 + bit, by[leaf.astype(np.int64)]
+        n = np.stack([np.bincount(edge.astype(np.int64), of[:, k], 2 * max(leaves - 1, 1)) for k in range(by.shape[1])]).reshape(by.shape[1], -1, 2)
+        whole = n.sum(0) + 0.05
+        half = whole / whole.sum(1, keepdims=True)
+        self.half0, self.half1 = (np.ascontiguousarray(half[:, k], np.float32) for k in (0, 1))
+        own = n + 4 * half
+        self.odds = np.log(whole[:, 1] / whole[:, 0]).astype(np.float32)
+        self.by_class = (np.log(own[..., 1] / own[..., 0]).astype(np.float32) - self.odds).ravel()
+        self.nodes = len(self.odds)
+
+
+class Reader:
+    """Reads texts in order, as symbols of a code, and mixes each bit's predictors: the symbol's frequency,
+    that in the class the text so far speaks for, and what followed the last word and the last two
+    words. After each ``STEP`` words the weights move by the errors; with ``learn`` the weights and
+    counts are those of all texts, else each text has weights of its own, which start from the learned."""
+
+    def __init__(self, code: Code, costs: np.ndarray, prior: np.ndarray, counts: np.ndarray | None = None, weights: np.ndarray | None = None):
+        self.code, self.costs, self.prior = code, np.asfortranarray(costs), prior
+        self.counts = np.zeros((2 << PAIRS, 2), np.int32) if counts is None else counts
+        self.weights = np.tile(np.array([1, 0.6, 0.4, 0.4], np.float32), (READS, 1)) if weights is None else weights
+
+    @staticmethod
+    def _follows(context: np.ndarray, node: np.ndarray, table: int) -> np.ndarray:
+        """Where the counts of a node's zeros are, behind a context; those of its ones are next."""
+        x = context + node.view(np.uint32) * _N1
+        x ^= x >> np.uint32(15)
+        x *= _N2
+        x ^= x >> np.uint32(13)
+        x *= _N3
+        x >>= np.uint32(32 - PAIRS)
+        x += np.uint32(table << PAIRS)
+        x <<= np.uint32(1)
+        return x.view(np.int32)
+
+    def read(self, symbols: np.ndarray, sizes: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of each text's symbols, log10 of its trust in each class). ``sizes``: symbols a text."""
+        code, first, flat = self.code, np.cumsum(sizes) - sizes, self.counts.reshape(-1)
+        ids = symbols.astype(np.uint32) + np.uint32(2)
+        last, last2 = np.concatenate([[1], ids[:-1]]).astype(np.uint32), np.concatenate([[0, 0], ids[:-2]]).astype(np.uint32)[: len(ids)]
+        last[first], last2[first] = 1, 0
+        last2[(first + 1)[sizes > 1]] = 1
+        one, two = last * _N2, (last2 * _N3 ^ (last2 * _N3 >> np.uint32(16))) * _N1 + last * _N2
+        total, trust = np.zeros(len(sizes)), np.tile(np.log10(self.prior), (len(sizes), 1))
+        weights = self.weights if learn else np.tile(self.weights, (len(sizes), 1))
+        rate, calm = (np.float32(0.3), 200) if learn else (np.float32(RATE), CALM)
+        for b in range(0, int(sizes.max(initial=0)), STEP):
+            lanes = np.flatnonzero(sizes > b)
+            n = np.minimum(sizes[lanes] - b, STEP)
+            lane, at = np.repeat(lanes, n), _ragged(first[lanes] + b, n)
+            s = symbols[at]
+            size = code.size[s]
+            bits = _ragged(code.start[s], size)
+            node, bit = code.node[bits], code.bit[bits]
+            owner = np.repeat(lane, size)
+            slots = [self._follows(np.repeat(c[at], size), node, k) for k, c in enumerate((one, two))]
+            half0, half1 = code.half0.take(node), code.half1.take(node)
+            x = [code.odds.take(node), code.by_class.take((trust.argmax(1) * code.nodes).take(owner) + node)]
+            gate = np.zeros(len(node), np.int64) if learn else owner * READS
+            for slot, much in zip(slots, (4, 1), strict=True):
+                c0, c1 = flat.take(slot).astype(np.float32), flat.take(slot + np.int32(1)).astype(np.float32)
+                seen = c0 + c1
+                for least in _SEEN:  # how well known the context is: never, once or twice, rarely, often
+                    gate += (seen >= least) * much
+                c0 += half0
+                c1 += half1
+                c1 /= c0
+                x.append(np.log(c1, out=c1) - x[0])
+            z = np.zeros(len(node), np.float32)
+            for row, w in zip(x, weights.T, strict=True):
+                z += row * w.take(gate)
+            np.clip(z, -20, 20, out=z)
+            total -= np.bincount(owner, _cost(z, bit), len(sizes)) * math.log10(2)
+            error = bit - 1 / (1 + np.exp(-z))
+            met = np.bincount(gate, minlength=len(weights)) + calm
+            for k, row in enumerate(x):
+                weights[:, k] += rate * np.bincount(gate, error * row, len(weights)) / met
+            if learn:
+                for slot in slots:
+                    np.add.at(flat, slot + bit, np.int32(1))
+            for k, cost in enumerate(self.costs.T):
+                trust[:, k] += np.bincount(lane, cost.take(s), len(sizes))
+        top = trust.max(1, keepdims=True)
+        return total, trust - top - np.log10(np.power(10, trust - top).sum(1, keepdims=True))
+
+
+_SEEN = (1, 3, 16)
+
+
+def _symbols(found: list[list[str]], find) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all tokens of some texts in the table of frequent ones, and tokens a text."""
+    sizes = np.array([len(f) for f in found])
+    return np.fromiter(map(find, chain.from_iterable(found)), np.int64, sizes.sum()), sizes
+
+
+def _coded(rows: np.ndarray, escape: int) -> np.ndarray:
+    """Symbols of rows: the first ``escape`` have one of their own."""
+    return np.where((rows < 0) | (rows > escape), escape, rows).astype(np.int64)
+
+
+def _read_training(frequent, model):
+    """A task's counts of what follows words, as blocks; its weights as block -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, read, seen = _Rows(frequent.value[0]).__getitem__, Reader(*model.value), 0
+        escape = len(read.costs) - 1
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                rows, sizes = _symbols([tokens(t.as_py()) for t in batch.column("text").slice(at, TEXTS)], find)
+                read.read(_coded(rows, escape), sizes, learn=True)
+                seen += len(rows)
+        if seen:
+            for block, part in enumerate(np.array_split(read.counts.astype(np.float32), BLOCKS)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+            state = np.append(read.weights.ravel() * seen, seen).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([state.tobytes()], pa.binary())], ["block", "counts"])
+
+    return run
+
+
 # ------------------------------------------------------------------ passes over the tables
 
 
@@ -353,15 +524,16 @@ def _score_tokens(table, mixer: Mixer, n: int, v: int, all_by: np.ndarray):
             with np.errstate(divide="ignore"):
                 own = np.log(a * by / np.maximum(all_by, 1) + b * counts[:, None] / max(n, 1))
             cost = np.logaddexp(own, spelled) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.words), pa.array(counts.astype(np.int64)), pa.array(np.log10((counts + 1) / (n + v + 1))), *map(pa.array, np.ascontiguousarray(cost.T))], ["token", "c", "base", *_COSTS])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.words), pa.array(counts.astype(np.int64)), pa.array(np.log10((counts + 1) / (n + v + 1))), *map(pa.array, np.ascontiguousarray(cost.T)), *map(pa.array, np.ascontiguousarray(by.T))], ["token", "c", "base", *_COSTS, *_BY])
 
     return run
 
 
-_COSTS = [f"s{k}" for k in range(CLASSES)]
-_NAMES = ["row", "doc_id", "held_out", "n_bytes", "token", "tf", "seen", "base", *_COSTS]
-_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * CLASSES]
-_ROWS = "row long, doc_id long, held_out boolean, n_bytes long, token string, tf long, seen long, base double, " + ", ".join(f"{c} double" for c in _COSTS)
+_COSTS, _BY = [f"s{k}" for k in range(CLASSES)], [f"c{k}" for k in range(CLASSES)]
+_READ = ["read", *(f"t{k}" for k in range(CLASSES))]
+_NAMES = ["row", "doc_id", "held_out", "n_bytes", "token", "tf", "seen", "base", *_COSTS, *_READ]
+_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * (2 * CLASSES + 1)]
+_ROWS = "row long, doc_id long, held_out boolean, n_bytes long, token string, tf long, seen long, base double, " + ", ".join(f"{c} double" for c in (*_COSTS, *_READ))
 
 
 class _Rows(dict):
@@ -371,26 +543,34 @@ class _Rows(dict):
         return -1
 
 
-def _sum_documents(frequent):
-    """Per document the sums over frequent tokens (token null), and a row per other token."""
+def _sum_documents(frequent, model, rest: np.ndarray):
+    """Per document the score of its symbols, its trust in each class, and sums over frequent tokens
+    (token null); and a row per other token. ``rest``: log10 of what all escaped tokens have, by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, values = frequent.value  # token -> row of (known?, base, costs)
-        find = _Rows(number).__getitem__
-        row, none = TaskContext.get().partitionId() << 40, (0, 0.0, *[0.0] * CLASSES)
+        find, read = _Rows(number).__getitem__, Reader(*model.value)
+        escape = len(read.costs) - 1
+        row, none = TaskContext.get().partitionId() << 40, (0, 0.0, *[0.0] * CLASSES, *[0.0] * (CLASSES + 1))
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 out: list[tuple] = []
-                for doc, text, held in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("held_out").to_pylist(), strict=True):
-                    found = tokens(text.as_py())
+                texts = [tokens(t.as_py()) for t in part.column("text")]
+                every, sizes = _symbols(texts, find)
+                symbols = _coded(every, escape)
+                read_as, trust = read.read(symbols, sizes)
+                first = np.cumsum(sizes) - sizes
+                for k, (doc, found, held) in enumerate(zip(part.column("doc_id").to_pylist(), texts, part.column("held_out").to_pylist(), strict=True)):
                     row += 1
-                    rows = np.fromiter(map(find, found), np.int64, len(found))
+                    rows = every[first[k] : first[k] + sizes[k]]
                     known = rows >= 0
                     if not known.all():
                         out += [(row, doc, held, 0, t, tf, *none) for t, tf in Counter([found[i] for i in np.flatnonzero(~known)]).items()]
-                    sums = values[rows[known]].sum(0)
-                    out.append((row, doc, held, sum(map(len, found)) + len(found), None, len(found), int(sums[0]), *sums[1:].tolist()))
+                    sums = values[rows[known], :2].sum(0)
+                    escaped = symbols[first[k] : first[k] + sizes[k]] == escape
+                    costs = values[rows[known & escaped], 2:].sum(0) - escaped.sum() * rest
+                    out.append((row, doc, held, sum(map(len, found)) + len(found), None, len(found), int(sums[0]), sums[1], *costs.tolist(), read_as[k], *trust[k].tolist()))
                 cols = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
@@ -433,7 +613,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         gained = np.sum([r.gained for r in learned], axis=0)
         mixer.shares = np.maximum(gained / gained.sum(), 0.005)
         mixer.shares /= mixer.shares.sum()
-    costs = ", ".join(f"{c} double" for c in _COSTS)
+    costs = ", ".join(f"{c} double" for c in (*_COSTS, *_BY))
     scored = materialise(vocabulary.mapInArrow(_score_tokens(table, mixer, n, v, all_by), f"token string, c long, base double, {costs}"), "token-scores")
     # by a threshold on counts, so that tasks send FREQUENT rows in all, not each
     step = F.floor(F.log2("c") * 8).cast("int")
@@ -446,14 +626,37 @@ def score_texts(docs: DataFrame) -> DataFrame:
         least = r.step
     most = short.filter(F.col("step") >= least).drop("step").toArrow().to_pydict()
     values = np.column_stack([np.array(most["c"]) > 0, most["base"], *(most[c] for c in _COSTS)]).astype(float)
-    frequent = sc.broadcast(({t: i for i, t in enumerate(most["token"])}, values))
-    rows = materialise(marked.select("doc_id", "text", "held_out").mapInArrow(_sum_documents(frequent), _ROWS), "document-sums")
-    rare = rows.filter("token is not null").select("row", "token", "tf").join(scored, "token")
+    order = sorted(range(len(values)), key=lambda i: (-most["c"][i], most["token"][i]))  # the first have a code
+    values = values[order]
+    frequent = sc.broadcast(({most["token"][i]: k for k, i in enumerate(order)}, values))
+    prior = (all_by + 1) / (all_by + 1).sum()
+    coded = np.column_stack([most[c] for c in _BY]).astype(float)[order[:CODED]].reshape(-1, CLASSES)
+    code = Code(np.vstack([coded, np.maximum(all_by - coded.sum(0), 0) + 1 / CLASSES]))
+    # by class: what the tokens with a code have together, and what is left to all others
+    own = np.power(10.0, values[:CODED, 2:])
+    rest = np.log10(np.maximum(1 - own.sum(0), 1e-12))
+    costs = np.vstack([values[:CODED, 2:], rest])
+    start = sc.broadcast((code, costs, prior))
+    # as many tasks as texts need or the cluster runs at once, as each has counts of its own
+    size = vocabulary.agg(F.coalesce(F.sum(F.col("c") * (F.octet_length("token") + 1)), F.lit(0))).first()[0]
+    texts = marked.filter(~F.col("held_out")).select("text").coalesce(max(sc.defaultParallelism, size // PER_TASK + 1))
+    made = materialise(texts.mapInArrow(_read_training(frequent, start), "block int, counts binary"), "read-counts")
+    follows = np.zeros((2 << PAIRS, 2), np.float32)
+    ranges = np.array_split(follows, BLOCKS)
+    for r in made.filter("block >= 0").repartition(BLOCKS, "block").mapInArrow(_sum_slots, "block int, counts binary").collect():
+        ranges[r.block][:] = np.frombuffer(r.counts, np.float32).reshape(-1, 2)
+    # as 16 bits, in proportion
+    follows *= np.minimum(1, 65535 / np.maximum(follows.max(1, keepdims=True), 1))
+    states = [np.frombuffer(r.counts, np.float32).astype(float) for r in made.filter("block = -1").collect()]
+    weights = (np.sum([x[:-1] for x in states], 0) / sum(x[-1] for x in states)).astype(np.float32).reshape(READS, -1) if states else None
+    model = sc.broadcast((code, costs, prior, follows.astype(np.uint16), weights))
+    rows = materialise(marked.select("doc_id", "text", "held_out").mapInArrow(_sum_documents(frequent, model, rest), _ROWS), "document-sums")
+    discard(made)
+    rare = rows.filter("token is not null").select("row", "token", "tf").join(scored.drop(*_BY), "token")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("r_seen"), *(F.sum(F.col("tf") * F.col(c)).alias(f"r_{c}") for c in ("base", *_COSTS)))
     add = lambda a: (F.col(a) + F.coalesce(F.col(f"r_{a}"), F.lit(0))).alias(a)
-    heads = rows.filter("token is null").drop("token").join(rare, "row", "left").select("doc_id", "held_out", "n_bytes", "tf", *map(add, ("seen", "base", *_COSTS)))
-    prior = (all_by + 1) / (all_by + 1).sum()
-    each = [F.col(c) + math.log10(p) for c, p in zip(_COSTS, prior, strict=True)]
+    heads = rows.filter("token is null").drop("token").join(rare, "row", "left").select("doc_id", "held_out", "n_bytes", "tf", *_READ, *map(add, ("seen", "base", *_COSTS)))
+    each = [F.col(c) + F.col(t) for c, t in zip(_COSTS, _READ[1:], strict=True)]
     top = F.greatest(*each)
-    score = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in each), F.lit(0.0)))
+    score = F.col("read") + top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in each), F.lit(0.0)))
     return heads.select("doc_id", "held_out", F.col("tf").alias("n_tokens"), F.col("seen").cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), (-F.log2(F.lit(10.0)) * score / F.col("n_bytes")).alias("bits_per_byte"))

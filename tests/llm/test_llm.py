@@ -613,6 +613,33 @@ def test_lm_spelling_is_a_distribution():
     assert lm_scoring.spelling("é" * 5000)[0] == ("é" * 2048).encode() and b"".join(lm_scoring.spelling("é" * 5000)) == ("é" * 5000).encode() + b" "
 
 
+def test_lm_contexts_cross_words_and_weights_move(spark):
+    """Symbols behind a context are a distribution; the order of words counts; a text's weights move."""
+    by = np.random.default_rng(5).integers(1, 50, (9, 2)).astype(float)
+    code = lm_scoring.Code(by)
+    assert np.exp2(-code.size.astype(float)).sum() == 1
+    read = lm_scoring.Reader(code, np.log10(by / by.sum(0)), np.array([0.5, 0.5]))
+    told = np.tile([1, 2, 3, 4], 100)
+    read.read(told, np.array([400]), learn=True)
+    behind = np.array([[1, 2, s] for s in range(9)]).ravel()
+    start = read.read(np.array([1, 2]), np.array([2]))[0]
+    each = read.read(behind, np.full(9, 3))[0] - start
+    assert np.power(10, each).sum() == pytest.approx(1, rel=1e-4) and each.argmax() == 3
+    # 64 words at once and in two texts of 32: contexts aside, the weights of the second half have moved
+    frozen, lm_scoring.RATE = lm_scoring.RATE, 0.0
+    try:
+        still = read.read(np.tile([5, 6], 64), np.array([128]))[0]
+    finally:
+        lm_scoring.RATE = frozen
+    assert read.read(np.tile([5, 6], 64), np.array([128]))[0] != pytest.approx(still)
+    words = ["red fox sees blue owl " * 8] * 60
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    new = [i for i in range(200, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [*zip(ids, words, strict=True), (new[0], words[0]), (new[1], "owl sees fox red blue " * 8)]
+    got = {r.doc_id: r for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[new[0]].base_score == pytest.approx(got[new[1]].base_score) and got[new[0]].score > got[new[1]].score + 3
+
+
 def test_lm_gains_on_held_out_texts(spark):
     """Held-out bits per byte: learned mixing beats the spelling by even odds it starts from,
     scores don't depend on the order of rows, and held-out rows teach nothing."""
