@@ -310,6 +310,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == [x for x in want if x[3] not in ("POSITION", "ENDED")] and got
 
 
+def test_sessions_are_folded_once_and_row_by_row(spark):
+    """A report's plan holds no fold; the fold holds no session as a frame, and equals one that does."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    report = catalogue.session_reports(prepare(spark), SF)
+    assert "MapInArrow" not in plan(report) and "InPandas" not in plan(report) and report.count()
+    rows = catalogue.session_rows(prepare(spark), SF).filter("session_id < '3'")
+    found = live.track_batch(rows.orderBy(F.rand(3)))
+    assert "InPandas" not in plan(found)
+    want = [tuple(None if pd.isna(x) else x for x in r) for sid, f in rows.toPandas().groupby("session_id") for r in live.fold(live.Session(), sid, f).itertuples(index=False)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and len(want) > 100
+
+
 def test_idle_sessions_end_and_leave_no_state(spark, tmp_path):
     """Timers end a session that says nothing more; its state goes, and later rows are ignored."""
     rows = catalogue.session_rows(prepare(spark), SF).filter("session_id < '2' and kind <> 'end'")
